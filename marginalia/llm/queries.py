@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from .components import match_groups
+from .cooccur import cooccurrence
+from .split import split_texts
+
+#: The entity that stands for the author of every journal.
+SELF = "11111111-1111-1111-1111-111111111111"
 
 ORACLES: dict[str, str] = {}
 
@@ -15,7 +20,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_groups(table(spark, folder, "duplicate_pairs"), table(spark, folder, "extract_results"))
 
 
-QUERIES = {"p3_found": p3_found}
+def _mentioned(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "mentions").where(F.col("entity_uuid") != SELF)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(group_id, uuid_a, uuid_b) in five or more common entries and at least three times as often as by chance."""
+    pairs = cooccurrence(_mentioned(spark, folder), "group_id", "episode_uuid", "entity_uuid", min_count=5)
+    cases = pairs.where(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    return cases.select("group_id", F.col("item_a").alias("uuid_a"), F.col("item_b").alias("uuid_b"))
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of entities of a journal with its common entries, lift and log-likelihood ratio."""
+    pairs = cooccurrence(_mentioned(spark, folder), "group_id", "episode_uuid", "entity_uuid")
+    return pairs.select("group_id", F.col("item_a").alias("uuid_a"), F.col("item_b").alias("uuid_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(group_id, uuid) of entries that had to be cut."""
+    return p5_pieces(spark, folder).where("piece_no > 0").select("group_id", "uuid").distinct()
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every entry."""
+    return split_texts(table(spark, folder, "episodes"), "content", ["group_id", "uuid"])
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces}
 # One record for each uuid in a group; the smallest uuid reachable over links in either direction.
 ORACLES["p3_found"] = """
 WITH RECURSIVE canon AS (
@@ -40,3 +72,26 @@ SELECT group_id,
   concat_ws('-', r[1:8], r[9:12], r[13:16], r[17:20], r[21:32]) AS root_uuid
 FROM roots
 """
+
+_MENTIONS = """
+WITH sets AS (
+  SELECT DISTINCT group_id, episode_uuid AS e, entity_uuid AS x FROM mentions
+  WHERE group_id IS NOT NULL AND episode_uuid IS NOT NULL AND entity_uuid IS NOT NULL AND entity_uuid <> '11111111-1111-1111-1111-111111111111'
+), item AS (SELECT group_id, x, count(*) AS k FROM sets GROUP BY ALL),
+total AS (SELECT group_id, count(DISTINCT e) AS n FROM sets GROUP BY ALL),
+both_in AS (SELECT a.group_id, a.x AS uuid_a, b.x AS uuid_b, count(*) AS n_ab FROM sets a JOIN sets b ON a.group_id = b.group_id AND a.e = b.e AND a.x < b.x GROUP BY ALL),
+full_row AS (
+  SELECT p.*, i.k AS n_a, j.k AS n_b, n FROM both_in p JOIN total USING (group_id)
+  JOIN item i ON p.group_id = i.group_id AND p.uuid_a = i.x JOIN item j ON p.group_id = j.group_id AND p.uuid_b = j.x
+)
+"""
+ORACLES["p4_found"] = _MENTIONS + "SELECT group_id, uuid_a, uuid_b FROM full_row WHERE n_ab >= 5 AND n_ab * n >= 3 * n_a * n_b"
+ORACLES["p4_pairs"] = _MENTIONS + """
+, parts AS (
+  SELECT *, [n_ab, n_a - n_ab, n_b - n_ab, n - n_a - n_b + n_ab] AS k, [n_a, n - n_a, n_b, n - n_b] AS m FROM full_row
+)
+SELECT group_id, uuid_a, uuid_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift,
+  round(greatest(0, 2 * (list_sum([CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END FOR v IN k]) + n * ln(n) - list_sum([CASE WHEN v > 0 THEN v * ln(v) ELSE 0 END FOR v IN m]))), 6) AS llr
+FROM parts
+"""
+ORACLES["p5_found"] = "SELECT DISTINCT group_id, uuid FROM episodes WHERE length(content) > 10000"
