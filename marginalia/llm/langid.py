@@ -32,17 +32,21 @@ NAMES = {
 }
 ORDERS, BITS = (1, 2, 3, 4), 17
 #: Labelled texts a language in the training sample: the bound on what is collected for fitting.
-SAMPLE_PER_LANGUAGE = 300
+SAMPLE_PER_LANGUAGE = 500
 #: Units a sample text gives at most to training, spread evenly over the whole text.
 UNITS_PER_TEXT = 12
 MIN_PASSAGE, MIN_LETTERS = 60, 8
 #: Price, in log probability, of a change of language between two units.
 SWITCH = 4.0
+#: Epochs of the fits that clean the training rows before the final one.
+CLEANING = (1, 2)
 #: Log odds by which the model must contradict a label before the label counts as wrong.
 CONTRADICTION = 1.0
 
 _BREAK = re.compile(r"(?:[.!?…;:]+[\"'»”’)\]]*\s+|\s*\n\s*|\s{2,}|\s+[–—|]\s+)")
 
+_LINK = re.compile(r"https?://[^\s/]*(?:/[^\s/]*(?=/))*/?|\bwww\.\S+")
+
 
 def _fold_table() -> np.ndarray:
     """Code point to lower-case letter, everything that is no letter to a blank."""
@@ -74,6 +78,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     Runs of characters that are no letters count as one blank. An n-gram starts at its character; those running over the
     end or made of a blank alone get the slot 0, whose weight stays 0.
     """
+    text = _LINK.sub(lambda m: " " * len(m[0]), text)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     folded = np.where(points < 65536, FOLD[np.minimum(points, 65535)], 32).astype(np.uint64)
     blank = folded == 32
@@ -151,7 +156,7 @@ def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, (tf * idf[ids] / np.sqrt(max(tf.sum(), 1))).astype(np.float32)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, batch: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.005, l2: float = 1e-3, batch: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal on the multinomial loss, elastic net by ``l1`` and ``l2``; returns (weights, bias)."""
     k, size = len(LANGUAGES), 1 << BITS
     z, n = np.zeros((size + 1, k), np.float32), np.zeros((size + 1, k), np.float32)  # the last slot is the bias
@@ -247,9 +252,16 @@ def fit(df: DataFrame, text: str, label: str, key: str, per_language: int = SAMP
     def logits(w: np.ndarray, b: np.ndarray, which: np.ndarray) -> np.ndarray:
         return np.array([(w[rows[i][0]] * rows[i][1][:, None]).sum(0) + b for i in np.flatnonzero(which)]).reshape(-1, len(LANGUAGES))
 
-    w, b = fit_ftrl(rows, labels, epochs=1)
-    lp = _log_softmax(logits(w, b, np.full(len(rows), True)))
-    agreed = lp[np.arange(len(rows)), labels] > lp.max(1) - CONTRADICTION
+    agreed = np.full(len(rows), True)
+    lp = np.zeros((len(rows), len(LANGUAGES)))
+    for epochs in CLEANING:  # each half is judged by a model of the other half, so no row vouches for itself
+        for half in (0, 1):
+            train, judged = np.flatnonzero(agreed & (owner % 2 == half)), owner % 2 != half
+            w, b = fit_ftrl([rows[i] for i in train], labels[train], epochs=epochs)
+            lp[judged] = _log_softmax(logits(w, b, judged))
+        whole = np.zeros((len(sample), len(LANGUAGES)))
+        np.add.at(whole, owner, lp)
+        agreed = (whole.argmax(1)[owner] == labels) & (lp[np.arange(len(rows)), labels] > lp.max(1) - CONTRADICTION)
     train = np.flatnonzero(agreed & ~held)
     w, b = fit_ftrl([rows[i] for i in train], labels[train])
     test = agreed & held
