@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import table
 from .components import match_groups
 from .cooccur import cooccurrence
+from .langid import CONTRADICTION, fit, identify
+from .mix import mixture, shares
+from .pack import pack_all, sized_table
 from .split import split_texts
+from .tokens import token_count
 
 #: The entity that stands for the author of every journal.
 SELF = "11111111-1111-1111-1111-111111111111"
@@ -47,7 +51,58 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "episodes"), "content", ["group_id", "uuid"])
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def _sized(spark: SparkSession, folder: str, label: str, *columns: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return sized_table(docs.select("doc_id", token_count(F.col("text")).alias("tokens"), *columns), label)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of one larger than a container, with its container of each kind."""
+    return pack_all(_sized(spark, folder, "packing"), "doc_id", "tokens", table(spark, folder, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used of each kind, the least possible number by volume, and how full they are."""
+    placed = p7_containers(spark, folder).groupBy("container_kind").agg(F.countDistinct("container_no").alias("containers"), F.sum("tokens").alias("tokens"))
+    out = placed.join(table(spark, folder, "pack_specs"), "container_kind")
+    least = F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers")
+    return out.select("container_kind", "capacity_tokens", "containers", least, "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, folder, "mix_targets").orderBy("source").collect()]
+    docs = _sized(spark, folder, "mixing", "source", "text")
+    return mixture(docs.select(F.col("doc_id").alias("doc"), "tokens", "source", "text"), targets)
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text with how often it is used."""
+    return _mixed(spark, folder).withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source reached."""
+    return shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def _identified(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identify(docs, "text", "lang", "doc_id", fit(docs, "text", "lang", "doc_id"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, seg_start, lang): texts whose label is missing or wrong, and the passages of texts in several languages."""
+    rows = _identified(spark, folder)
+    wrong = F.col("label_code").isNull() | ((F.col("label_code") != F.col("lang")) & (F.col("label_log_odds") > CONTRADICTION))
+    return rows.where((F.col("passages") > 1) | wrong).select("doc_id", "seg_start", "lang")
+
+
+def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of every text with its language and confidence."""
+    return _identified(spark, folder).drop("label_log_odds")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 # One record for each uuid in a group; the smallest uuid reachable over links in either direction.
 ORACLES["p3_found"] = """
 WITH RECURSIVE canon AS (
