@@ -9,6 +9,7 @@ from .components import match_groups
 from .cooccur import cooccurrence
 from .langid import CONTRADICTION, fit, identify
 from .mix import mixture, shares
+from .names import link_names, variant_pairs
 from .pack import pack_all, sized_table
 from .split import split_texts
 from .tokens import token_count
@@ -19,6 +20,11 @@ SELF = "11111111-1111-1111-1111-111111111111"
 ORACLES: dict[str, str] = {}
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(group_id, name_a, name_b): two spellings of one person, place or organisation of a journal."""
+    return variant_pairs(link_names(table(spark, folder, "extracted_entities")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """(group_id, uuid, root_uuid) of every uuid linked to another."""
     return match_groups(table(spark, folder, "duplicate_pairs"), table(spark, folder, "extract_results"))
@@ -102,7 +108,7 @@ def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _identified(spark, folder).drop("label_log_odds")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 # One record for each uuid in a group; the smallest uuid reachable over links in either direction.
 ORACLES["p3_found"] = """
 WITH RECURSIVE canon AS (
