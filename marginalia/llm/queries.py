@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import Scratch, table
 from .components import match_groups
 from .cooccur import cooccurrence
 from .langid import CONTRADICTION, fit, identify
 from .mix import mixture, shares
 from .names import link_names, variant_pairs
 from .pack import pack_all, sized_table
+from .pii import detect, labelled_sample, redact, train
 from .split import split_texts
 from .tokens import token_count
 
@@ -57,6 +58,21 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "episodes"), "content", ["group_id", "uuid"])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(group_id, uuid, kind, start_pos, end_pos) of each passage with personal information."""
+    entries = table(spark, folder, "episodes")
+    names = table(spark, folder, "extracted_entities").where("entity_type_id = 1").select("group_id", F.col("episode_uuid").alias("uuid"), "name")
+    texts, spans = labelled_sample(entries, names, ["group_id", "uuid"], "content")
+    return detect(entries, ["group_id", "uuid"], "content", train(texts, spans)).distinct()
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry with placeholders in place of personal information."""
+    entries = table(spark, folder, "episodes").where("content IS NOT NULL").groupBy("group_id", "uuid").agg(F.min("content").alias("content"))
+    disk = Scratch(spark, "redacted")
+    return redact(entries, ["group_id", "uuid"], "content", disk.save(p6_found(spark, folder), keep=True))
+
+
 def _sized(spark: SparkSession, folder: str, label: str, *columns: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return sized_table(docs.select("doc_id", token_count(F.col("text")).alias("tokens"), *columns), label)
@@ -108,7 +124,7 @@ def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _identified(spark, folder).drop("label_log_odds")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 # One record for each uuid in a group; the smallest uuid reachable over links in either direction.
 ORACLES["p3_found"] = """
 WITH RECURSIVE canon AS (
