@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["timestamps"]
+MODULES = ["graph", "timestamps"]
 
 
 def collect() -> tuple[dict, dict]:
