@@ -84,7 +84,7 @@ def mention_degrees(spark, folder):  # noqa: ANN001, ANN201
 
 def entity_mention_lists(spark, folder):  # noqa: ANN001, ANN201
     """A05"""
-    per = star.mentions(spark, folder).where(F.col("entity_uuid") < 20).groupBy("group_id", "entity_uuid")
+    per = star.mentions(spark, folder).groupBy("group_id", "entity_uuid")
     return per.agg(F.sort_array(F.collect_set("episode_uuid")).alias("episodes"), F.sort_array(F.collect_list("uuid")).alias("edges"))
 
 
@@ -108,7 +108,7 @@ def relations_by_group(spark, folder):  # noqa: ANN001, ANN201
     m = star.mentions(spark, folder)
     nxt = m.select("group_id", "episode_uuid", (F.col("pos") - 1).alias("pos"), F.col("entity_uuid").alias("target_uuid"))
     relations = m.select("group_id", "episode_uuid", "pos", F.col("entity_uuid").alias("source_uuid")).join(nxt, ["group_id", "episode_uuid", "pos"])
-    few = star.entities(spark, folder).where(F.col("uuid") % 3 != 0)
+    few = star.entities(spark, folder).where("type <> 'ECONOMY'")
     return graph.relations_of(relations.select("group_id", "source_uuid", "target_uuid", F.col("episode_uuid").alias("episode")), few)
 
 
@@ -277,15 +277,15 @@ SELECT group_id, name, frequency, arg_max_uuid AS uuid, rank FROM (SELECT p.*, (
     "recent_asof": VIEWS + """, probe AS (SELECT group_id, CAST(t AS TIMESTAMP) AS probe FROM grp, (VALUES ('1995-01-01'), ('1996-02-29'), ('1999-12-31 12:00:00')) x(t))
 SELECT group_id, probe, uuid, valid_at, rank FROM (SELECT ep.group_id, probe, uuid, valid_at, row_number() OVER (PARTITION BY ep.group_id, probe ORDER BY valid_at DESC, uuid DESC) AS rank FROM ep JOIN probe ON ep.group_id = probe.group_id AND valid_at <= probe) WHERE rank <= 5""",
     "mention_degrees": VIEWS + "SELECT group_id, entity_uuid AS uuid, count(*) AS degree FROM m GROUP BY ALL",
-    "entity_mention_lists": VIEWS + "SELECT group_id, entity_uuid, list_sort(list(DISTINCT episode_uuid)) AS episodes, list_sort(list(uuid)) AS edges FROM m WHERE entity_uuid < 20 GROUP BY ALL",
+    "entity_mention_lists": VIEWS + "SELECT group_id, entity_uuid, list_sort(list(DISTINCT episode_uuid)) AS episodes, list_sort(list(uuid)) AS edges FROM m GROUP BY ALL",
     "db_stats": VIEWS + "SELECT (SELECT count(*) FROM ep) AS episodes, (SELECT count(*) FROM en) AS entities",
     "episode_lookup": VIEWS + f"SELECT * FROM ep WHERE uuid = {EPISODE}",
     "entities_of_group": VIEWS + f"SELECT * FROM en WHERE group_id = '{GROUP}' OR name = '{SELF}'",
-    "relations_by_group": VIEWS + """, few AS (SELECT * FROM en WHERE uuid % 3 <> 0), rel AS (SELECT a.group_id, a.episode_uuid AS episode, a.entity_uuid AS source_uuid, b.entity_uuid AS target_uuid FROM m a JOIN m b ON a.group_id = b.group_id AND a.episode_uuid = b.episode_uuid AND b.pos = a.pos + 1)
+    "relations_by_group": VIEWS + """, few AS (SELECT * FROM en WHERE type <> 'ECONOMY'), rel AS (SELECT a.group_id, a.episode_uuid AS episode, a.entity_uuid AS source_uuid, b.entity_uuid AS target_uuid FROM m a JOIN m b ON a.group_id = b.group_id AND a.episode_uuid = b.episode_uuid AND b.pos = a.pos + 1)
 SELECT rel.*, s.name AS source_name, t.name AS target_name FROM rel JOIN few s ON s.group_id = rel.group_id AND s.uuid = source_uuid JOIN few t ON t.group_id = rel.group_id AND t.uuid = target_uuid""",
     "path_lengths": """WITH RECURSIVE e AS (SELECT n_nationkey AS id, n_regionkey + 100 AS src, n_nationkey AS dst FROM nation UNION ALL SELECT n_nationkey + 50, n_nationkey, (n_regionkey + 1) % 5 + 100 FROM nation),
-walk(at, used, length) AS (SELECT dst, [id], 1 FROM e WHERE src = 100 UNION ALL SELECT e.dst, list_append(used, e.id), length + 1 FROM walk JOIN e ON e.src = at WHERE NOT list_contains(used, e.id) AND length < 6)
-SELECT length, count(*) AS paths FROM walk WHERE at = 102 GROUP BY ALL""",
+walk(spot, used, length) AS (SELECT dst, [id], 1 FROM e WHERE src = 100 UNION ALL SELECT e.dst, list_append(used, e.id), length + 1 FROM walk JOIN e ON e.src = spot WHERE NOT list_contains(used, e.id) AND length < 6)
+SELECT length, count(*) AS paths FROM walk WHERE spot = 102 GROUP BY ALL""",
     "friends_of": "SELECT c_custkey, s_suppkey, s_name FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000",
     "department_stats": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 2) AS mean, max(c_acctbal) AS top FROM customer GROUP BY ALL",
     "home_page": _PAGE % 0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["graph", "timestamps"]
+MODULES = ["graph", "entries", "timestamps"]
 
 
 def collect() -> tuple[dict, dict]:
