@@ -7,8 +7,8 @@ of one scope are compared.
 
 The comparison is a metric-space partitioned radius join: each scope has pivots, a point lives in the cell of its
 nearest pivot and is copied to every cell whose pivot lies within its nearest distance plus twice the radius
-(triangle inequality), and an exact join with the true Levenshtein metric runs inside each cell. Cells above
-``CELL`` points are partitioned again with pivots of their own.
+(triangle inequality), and an exact join with the true Levenshtein metric runs inside each cell. Swapped neighbours,
+two edits in that metric, are found beside it by equality of the swapped text.
 
 Matches of full forms give the base groups; a group of short forms joins the one group of full names that it fits, and
 stays alone where several fit. Defined results: null, blank and one-letter names, the self entity, activities and rooms
@@ -23,13 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import Scratch
 from .components import connected_components
 
-#: Levenshtein radius of the join (a swap of neighbours is two edits), pivots of a cell, points from which a cell is split again, depth.
-RADIUS, PIVOTS, CELL, DEPTH = 2, 32, 400, 4
+#: Levenshtein radius of the join, pivots of a cell, points from which a cell is split again, rounds at most, and the share of
+#: its points that a cell must lose in a round to be split once more.
+RADIUS, PIVOTS, CELL, DEPTH, PROGRESS = 1, 16, 150, 4, 0.7
 #: Texts shorter than this must agree exactly.
 TYPO_LENGTH = 5
 
@@ -213,42 +214,44 @@ def _nearest(points_: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def radius_join(texts: DataFrame, disk: Scratch) -> DataFrame:
-    """(cell key, a, b): pairs of different texts of one ``scope`` within ``RADIUS`` Levenshtein edits, each pair once.
+    """(scope, a, b): pairs of different texts of one ``scope`` within ``RADIUS`` Levenshtein edits, each pair once.
 
-    ``texts(scope, text)`` must be distinct. A point is compared only where one of the two is at home, so every pair
-    is found: the home cell of either holds a copy of the other.
+    ``texts(scope, text)`` must be distinct. The first pivot is the empty text: the distance to it is the length, so a
+    point lives in the ring of its length and is copied to the next ones within the radius. Rings above ``CELL`` points
+    are split by pivots of their own, and again as long as that makes them smaller. A pair is compared only where one
+    of the two is at home, and every pair is: the home cell of either holds the other or a copy of it.
     """
-    cells = texts.select(F.col("scope").alias("root"), F.col("scope").alias("cell"), "text", F.lit(True).alias("home"))
+    ring = F.explode(F.sequence(F.length("text"), F.length("text") + RADIUS))
+    cells = texts.select("scope", "text", ring.alias("ring")).select("scope", F.concat_ws("#", "scope", F.col("ring").cast("string")).alias("cell"), "text", (F.col("ring") == F.length("text")).alias("home"), F.lit(None).cast("bigint").alias("before"))
     done = None
     for depth in range(DEPTH):
         cells = disk.save(cells)
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
-        big = sizes.where(F.col("size") > CELL) if depth < DEPTH - 1 else sizes.limit(0)
-        small = cells.join(big, "cell", "left_anti")
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("before").alias("was"))
+        splits = (F.col("size") > CELL) & (F.col("was").isNull() | (F.col("size") < PROGRESS * F.col("was")))
+        big = sizes.where(splits) if depth < DEPTH - 1 else sizes.limit(0)
+        small = cells.join(big, "cell", "left_anti").drop("before")
         done = small if done is None else done.unionAll(small)
         if depth == DEPTH - 1 or big.isEmpty():
             break
-        large = cells.join(big.select("cell"), "cell", "left_semi")
-        # The texts first in hash order are the pivots: the least of each of PIVOTS hash slots, aggregated map-side.
+        large = cells.drop("before").join(big.select("cell", F.col("size").alias("before")), "cell")
+        # Pivots: of each of PIVOTS hash slots the text first in hash order, aggregated map-side.
         slot = F.pmod(F.xxhash64("text", F.lit(depth)), F.lit(PIVOTS))
         firsts = large.groupBy("cell", slot.alias("slot")).agg(F.min_by("text", F.xxhash64("text")).alias("p"))
         pivots = firsts.groupBy("cell").agg(F.collect_list("p").alias("pivots"))  # PIVOTS entries
         split = _nearest(large, pivots)
-        cells = split.select("root", F.concat_ws("/", "cell", F.col("no").cast("string")).alias("cell"), "text", (F.col("home") & (F.col("no") == F.col("home_no"))).alias("home"))
-    done = done.withColumn("len", F.length("text"))
-    left = done.select("root", "cell", F.col("text").alias("a"), F.col("home").alias("ha"), F.col("len").alias("la"))
-    # Lengths within the radius meet through an equi-join on length: three copies of one side.
-    right = done.select("cell", F.col("text").alias("b"), F.col("home").alias("hb"), F.explode(F.sequence(F.col("len") - RADIUS, F.col("len") + RADIUS)).alias("la"))
-    met = left.join(right, ["cell", "la"]).where((F.col("a") < F.col("b")) & (F.col("ha") | F.col("hb")))
-    return met.where(F.levenshtein("a", "b", RADIUS).between(1, RADIUS)).select(F.col("root").alias("scope"), "a", "b").distinct()
+        cells = split.select("scope", F.concat_ws("/", "cell", F.col("no").cast("string")).alias("cell"), "text", (F.col("home") & (F.col("no") == F.col("home_no"))).alias("home"), "before")
+    left = done.select("scope", "cell", F.col("text").alias("a"), F.col("home").alias("ha"))
+    right = done.select("cell", F.col("text").alias("b"), F.col("home").alias("hb"))
+    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.col("ha") | F.col("hb")))
+    return met.where(F.levenshtein("a", "b", RADIUS).between(1, RADIUS)).select("scope", "a", "b").distinct()
 
 
-def _one_slip(a: Column, b: Column) -> Column:
-    """One insertion, deletion, change, or swap of neighbours (told from two edits by the letters around the first difference)."""
-    places = F.sequence(F.lit(1), F.length(a))
-    first = F.try_element_at(F.filter(places, lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), F.lit(1))
-    swapped = F.concat(F.substring(a, F.lit(1), first - 1), F.substring(a, first + 1, F.lit(1)), F.substring(a, first, F.lit(1)), F.substring(a, first + 2, F.length(a)))
-    return (F.levenshtein(a, b) == 1) | ((F.length(a) == F.length(b)) & (swapped == b))
+def swapped(texts: DataFrame) -> DataFrame:
+    """(scope, a, b): pairs that differ by a swap of two neighbouring letters, each pair once, by equality of the swapped text."""
+    places = F.sequence(F.lit(1), F.length("text") - 1)
+    turn = lambda i: F.concat(F.substring("text", F.lit(1), i - 1), F.substring("text", i + 1, F.lit(1)), F.substring("text", i, F.lit(1)), F.substring("text", i + 2, F.length("text")))
+    turned = texts.where(F.length("text") > 1).select("scope", F.col("text").alias("a"), F.explode(F.array_distinct(F.transform(places, turn))).alias("b"))
+    return turned.where("a < b").join(texts.select("scope", F.col("text").alias("b")), ["scope", "b"], "left_semi").select("scope", "a", "b")
 
 
 def link_names(rows: DataFrame) -> DataFrame:
@@ -257,8 +260,8 @@ def link_names(rows: DataFrame) -> DataFrame:
     pts = name_points(rows).withColumn("scope", F.concat_ws("|", "group_id", "scope"))
     pts = disk.save(pts.distinct())
     texts = pts.select("scope", "text").distinct()
-    near = radius_join(texts.where(F.length("text") >= TYPO_LENGTH), disk)
-    slips = disk.save(near.where(_one_slip(F.col("a"), F.col("b"))))
+    long = texts.where(F.length("text") >= TYPO_LENGTH)
+    slips = disk.save(radius_join(long, disk).unionAll(swapped(long)).distinct())
     both = slips.unionAll(slips.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
     same = texts.select("scope", F.col("text").alias("a"), F.col("text").alias("b"))
     pairs = both.unionAll(same)
