@@ -127,13 +127,13 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
     above ``GIANT`` items therefore build no pairs: the pairs of the other baskets look up which giants hold both items.
     """
     sets = rows.select(F.col(scope).alias("scope"), F.col(basket).alias("basket"), F.col(item).alias("item"))
-    sets = sets.where("scope IS NOT NULL AND basket IS NOT NULL AND item IS NOT NULL").distinct()
-    items = sets.groupBy("scope", "item").agg(F.count("*").alias("n_item"))
-    totals = sets.select("scope", "basket").distinct().groupBy("scope").agg(F.count("*").alias("n"))
-    kept = sets if min_count <= 1 else salted_lookup(sets, items.where(F.col("n_item") >= min_count), ["scope", "item"]).drop("n_item")
     disk = Scratch(rows.sparkSession, "cooccurrence")
+    sets = disk.save(sets.where("scope IS NOT NULL AND basket IS NOT NULL AND item IS NOT NULL").distinct(), keep=True)
+    items = disk.save(sets.groupBy("scope", "item").agg(F.count("*").alias("n_item")), keep=True)
+    totals = disk.save(sets.select("scope", "basket").distinct().groupBy("scope").agg(F.count("*").alias("n")), keep=True)
+    kept = sets if min_count <= 1 else salted_lookup(sets, items.where(F.col("n_item") >= min_count), ["scope", "item"]).drop("n_item")
     kept = disk.save(kept, keep=True)
-    sizes = kept.groupBy("scope", "basket").agg(F.count("*").alias("size"))
+    sizes = disk.save(kept.groupBy("scope", "basket").agg(F.count("*").alias("size")), keep=True)
     rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("size"), "basket"))
     giants = disk.save(sizes.where(F.col("size") > GIANT).withColumn("rank", rank).where(F.col("rank") < min_count).select("scope", "basket"), keep=True)
     some = not giants.isEmpty()
@@ -147,9 +147,11 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
             pairs = salted_lookup(pairs, inside.select("scope", F.col("item").alias(f"item_{side}"), F.col("held").alias(f"held_{side}")), ["scope", f"item_{side}"], "left")
         common = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))
         pairs = pairs.select("scope", "item_a", "item_b", (F.col("n_ab") + F.greatest(common, F.lit(0))).alias("n_ab"))
-    pairs = pairs.where(F.col("n_ab") >= min_count)
-    counted = salted_lookup(pairs, items.select("scope", F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), ["scope", "item_a"])
-    counted = salted_lookup(counted, items.select("scope", F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), ["scope", "item_b"])
+    # Written once, so the look-ups below (and their counts of hot keys) do not run the stripes again. An item has at most
+    # one row a partner here, so these joins need no salt; that on the scope does.
+    pairs = disk.save(pairs.where(F.col("n_ab") >= min_count), keep=True)
+    counted = pairs.join(items.select("scope", F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), ["scope", "item_a"])
+    counted = counted.join(items.select("scope", F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), ["scope", "item_b"])
     counted = salted_lookup(counted, totals, ["scope"])
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     llr = log_likelihood_ratio(*(F.col(c) for c in ("n_ab", "n_a", "n_b", "n")))
