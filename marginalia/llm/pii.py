@@ -30,8 +30,8 @@ SAMPLE_TEXTS, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE = 1600, 3, 128, 96, 6, 0.012
 WINDOW, OVERLAP, AT_ONCE = 256, 64, 384
 
 _WORDISH = r"[^\W\d_]"
-_TOWN = r"(?:\s(?:of\s)?[A-ZÀ-Þ][\wÀ-ÿ'’-]+){1,2}"
-_AFTER = rf"(?:,\s(?:Apt|Flat|Unit|Suite|No\.?)\s?\w+)?(?:,\s\d{{1,2}}º\s?\w+)?(?:,(?:\s\d{{5}})?{_TOWN}(?:,?\sZZ\d?\s?\w{{3,5}})?|,\sZZ\s?\d{{5}})?"
+_TOWN = r"(?:\s(?:of\s)?(?!ZZ)[A-ZÀ-Þ][\wÀ-ÿ'’-]+){1,2}"
+_AFTER = rf"(?:,\s(?:Apt|Flat|Unit|Suite|No\.?)\s?\w+)?(?:,\s\d{{1,2}}º\s?\w+)?(?:,(?:\s\d{{5}})?{_TOWN}(?:,?\sZZ\d{{0,2}}\s?\w{{3,5}})?|,\sZZ\s?\d{{5}})?"
 _EN = r"(?:(?:avenue|street|road|lane|court|close|crescent|drive|terrace|boulevard|way|place|square|gardens|row|mews|hill)\b|(?:ave|st|rd|ln|ct|dr|blvd|cres|terr|pl|sq)\b\.?)"
 #: Format rules that mark the training rows and set boundaries, tried in this order.
 RULES = [
