@@ -25,7 +25,7 @@ KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, CHARS, CLASSES = 40, 160, 8
 #: Entries in the training sample, windows one entry gives at most, training window, batch, epochs, step.
-SAMPLE_TEXTS, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE = 1600, 3, 128, 96, 6, 0.012
+SAMPLE_TEXTS, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE = 1600, 4, 128, 48, 8, 0.01
 #: Window and overlap when reading whole texts; windows scored at once.
 WINDOW, OVERLAP, AT_ONCE = 256, 64, 384
 
@@ -348,14 +348,13 @@ def _raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
 
 
 def check_spans(text: str, raw: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Whole words, trimmed ends, the least content of the kind, boundaries of an overlapping rule of the kind."""
-    rules = [(m.start(), m.end(), kind) for kind, rule in RULES for m in rule.finditer(text)]
+    """Whole words, trimmed ends, the least content of the kind; a span that overlaps a passage of a known format takes its boundaries and kind."""
+    rules = rule_spans(text)
     out: list[tuple[int, int, str]] = []
     for a, b, kind in raw:
-        if kind != "person_name":
-            hits = [(x, y) for x, y, k in rules if k == kind and x < b and a < y]
-            if hits:
-                a, b = max(hits, key=lambda h: (min(h[1], b) - max(h[0], a), h[1] - h[0]))
+        hits = [(x, y, k) for x, y, k in rules if x < b and a < y]
+        if hits:
+            a, b, kind = max(hits, key=lambda h: (min(h[1], b) - max(h[0], a), h[2] == kind, h[1] - h[0]))
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
         while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
@@ -380,7 +379,7 @@ def check_spans(text: str, raw: list[tuple[int, int, str]]) -> list[tuple[int, i
         digits = sum(c.isdigit() for c in body)
         good = {
             "email": "@" in body or " dot " in body or "(at)" in body or "[at]" in body or "{at}" in body, "phone": digits >= 7, "id_number": digits >= 6,
-            "street_address": digits >= 1 and any(c.isalpha() for c in body), "person_name": len(body) >= 2 and body[0].isalpha() and "\n" not in body,
+            "street_address": digits >= 1 and (bool(hits) or (len(body.split()) >= 3 and any(c.isupper() for c in body))), "person_name": len(body) >= 2 and body[0].isalpha() and "\n" not in body,
         }[kind]
         if good and kind == "person_name" and out and out[-1][2] == kind and out[-1][1] < a and not text[out[-1][1] : a].strip() and "\n" not in text[out[-1][1] : a]:
             out[-1] = (out[-1][0], b, kind)  # given name and surname with only blanks between
