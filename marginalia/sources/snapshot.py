@@ -16,7 +16,13 @@ class SnapshotStore:
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        # The pointer is replaced in one rename, so there is no moment without one.
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+        self._overwrite[0] = rename.OVERWRITE
 
     def _pointer(self, name: str):  # noqa: ANN202
         return self._path(f"{self.root}/{name}/CURRENT")
@@ -49,8 +55,7 @@ class SnapshotStore:
         out = self._fs.create(fresh, True)
         out.write(bytearray(f"v-{batch}".encode()))
         out.close()
-        self._fs.delete(self._pointer(name), False)
-        self._fs.rename(fresh, self._pointer(name))
+        self._context.rename(fresh, self._pointer(name), self._overwrite)
         return f"v-{batch}"
 
     def reset(self, name: str, seed: DataFrame, batch: str) -> str:
