@@ -29,9 +29,10 @@ HOT = 200_000
 
 def canonical_uuid(text: Column) -> Column:
     """A uuid in any notation (upper case, braces, urn, no hyphens, blanks around it) as lower-case 8-4-4-4-12, else null."""
-    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, F.lit(r"(?U)^\s+|\s+$"), F.lit("")))), F.lit(r"^urn:uuid:|[{}()-]"), F.lit(""))
-    parts = [F.substring(bare, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts))
+    bare = F.lower(F.regexp_replace(text, F.lit(r"(?iU)^\s+(?:urn:uuid:)?|^urn:uuid:|\s+$|[{}()-]"), F.lit("")))
+    parts = lambda x: F.concat_ws("-", *[F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    # Bound once: as a lambda variable the cleaned text is not computed again for each of its parts.
+    return F.get(F.transform(F.array(bare), lambda x: F.when(x.rlike("^[0-9a-f]{32}$"), parts(x))), F.lit(0))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
