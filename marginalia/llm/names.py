@@ -10,6 +10,9 @@ nearest pivot and is copied to every cell whose pivot lies within its nearest di
 (triangle inequality), and an exact join with the true Levenshtein metric runs inside each cell. Swapped neighbours,
 two edits in that metric, are found beside it by equality of the swapped text.
 
+Every text is compared twice, as folded and after letters that sound alike are made one, in scopes of their own: a slip
+that makes or breaks a group of such letters (qu, ch, rn) is one edit as typed and several as heard.
+
 Matches of full forms give the base groups; a group of short forms joins the one group of full names that it fits, and
 stays alone where several fit. Defined results: null, blank and one-letter names, the self entity, activities and rooms
 give no row; repeated rows count once; an empty table gives an empty result.
@@ -61,7 +64,7 @@ ROOMS = re.compile(r"^(?:the )?(?:living|dining|laundry|bath|bed|guest|waiting|r
 SELF_NAMES = {"i", "me", "my", "mine", "myself"}
 
 PERSON, THING, ACTIVITY = 1, 2, 4
-POINT = "group_id string, name string, scope string, text string, role string"
+POINT = "group_id string, name string, scope string, text string, typed string, role string"
 
 
 def fold(text: str) -> str:
@@ -93,7 +96,7 @@ def tokens(name: str) -> tuple[list[str], bool, list[bool]]:
 
 
 def points(name: str, kind: int) -> list[tuple[str, str, str]]:
-    """(scope, text, role): role 'full' or 'short' for what the name is, 'derived' for short forms it may have."""
+    """(scope, text as typed, role): role 'full' or 'short' for what the name is, 'derived' for short forms it may have."""
     words, comma, dotted = tokens(name)
     if not words or (len(words) == 1 and len(words[0]) < 2):
         return []
@@ -110,21 +113,20 @@ def points(name: str, kind: int) -> list[tuple[str, str, str]]:
     if not long:
         return []
     if len(long) == 1:
-        word = sound(long[0][0])
+        word = long[0][0]
         if single and words[0] in single and not comma:  # initial and surname
             return [(f"I|{sound(single[0])}", word, "short")]
         if single and comma:  # surname, initial
             return [(f"I|{sound(single[0])}", word, "short")]
         if single:  # given name and initial of the surname
-            given = sound(GIVEN.get(long[0][0], long[0][0]))
+            given = GIVEN.get(long[0][0], long[0][0])
             return [(f"J|{sound(single[0])}", given, "short"), (f"I|{sound(single[0])}", word, "short")]
         if titled:
             return [("S", word, "short")]
-        given = sound(GIVEN.get(long[0][0], long[0][0]))
+        given = GIVEN.get(long[0][0], long[0][0])
         return list(dict.fromkeys([("S", word, "short"), ("G", given, "short"), ("N", word, "single"), ("N", given, "single")]))
     if len(long) == 2 and long[0][1] and 2 <= len(long[0][0]) <= 4:  # cut given name and surname
-        cut = sound(long[0][0])
-        return [(f"A|{cut[:2]}", sound(long[1][0]), "short")]
+        return [(f"A|{sound(long[0][0])[:2]}", long[1][0], "short")]
     if comma:
         long = [*long[1:], long[0]]
     given, family = long[0][0], long[-1][0]
@@ -132,7 +134,7 @@ def points(name: str, kind: int) -> list[tuple[str, str, str]]:
     if comma:
         middle = next(iter(single), "")
     out = []
-    full = [sound(GIVEN.get(w, w)) for w, _ in long]
+    full = [GIVEN.get(w, w) for w, _ in long]
     forward = " ".join(full)
     out.append((f"F|{middle}", forward, "full"))
     for m in ([""] if middle else []):
@@ -141,9 +143,9 @@ def points(name: str, kind: int) -> list[tuple[str, str, str]]:
     if not comma:
         out.append((f"F|{middle}", " ".join([*full[1:], full[0]]), "turned"))
     for g, f in {(given, family), (family, given)} if not comma else {(given, family)}:
-        g_full = sound(GIVEN.get(g, g))
+        g_full = GIVEN.get(g, g)
         role = "derived" if (g, f) == (given, family) else "perhaps"
-        out += [(f"I|{sound(g[0])}", sound(f), role), (f"I|{sound(GIVEN.get(g, g)[0])}", sound(f), role), ("S", sound(f), role), ("G", g_full, role), (f"J|{sound(f[0])}", g_full, role), (f"A|{g_full[:2]}", sound(f), role), (f"A|{sound(g)[:2]}", sound(f), role)]
+        out += [(f"I|{sound(g[0])}", f, role), (f"I|{sound(g_full[0])}", f, role), ("S", f, role), ("G", g_full, role), (f"J|{sound(f[0])}", g_full, role), (f"A|{sound(g_full)[:2]}", f, role), (f"A|{sound(g)[:2]}", f, role)]
     return list(dict.fromkeys(out))
 
 
@@ -154,18 +156,17 @@ def _thing(name: str, words: list[str], comma: bool) -> list[tuple[str, str, str
     if letters and name.strip().upper() == name.strip():
         return [("C", "".join(c for c in fold(name) if c.isalpha()), "short")]
     words = [WORDS.get(w, w) for w in words]
-    full = [sound(w) for w in words]
-    out = [("T", " ".join(full), "full")]
-    if len(full) > 1:
-        out.append(("T", " ".join(sorted(full)), "sorted"))
+    out = [("T", " ".join(words), "full")]
+    if len(words) > 1:
+        out.append(("T", " ".join(sorted(words, key=sound)), "sorted"))
     if len(words) >= 3:
         for cut in range(1, len(words)):
-            out.append(("L", " ".join(full[:cut]), "derived"))
+            out.append(("L", " ".join(words[:cut]), "derived"))
         out.append(("C", "".join(w[0] for w in words), "derived"))
         skip = [w for w in words if w not in ("of", "the", "and")]
         out.append(("C", "".join(w[0] for w in skip), "derived"))
     if not words[-1] in THINGS or len(words) <= 2:
-        out.append(("L", " ".join(full), "short"))
+        out.append(("L", " ".join(words), "short"))
     return list(dict.fromkeys(out))
 
 
@@ -188,7 +189,7 @@ def kinds_of(name: str, types: dict[int, int]) -> list[int]:
 
 
 def name_points(rows: DataFrame) -> DataFrame:
-    """(group_id, name, scope, text, role) of the distinct names; types are counted before, in the JVM."""
+    """(group_id, name, scope, text, typed, role) of the distinct names, ``text`` as it sounds (acronyms as typed); types are counted before, in the JVM."""
     counts = rows.where("group_id IS NOT NULL AND name IS NOT NULL").groupBy("group_id", "name", "entity_type_id").agg(F.count("*").alias("n"))
     names = counts.groupBy("group_id", "name").agg(F.collect_list(F.struct(F.coalesce("entity_type_id", F.lit(0)).alias("t"), "n")).alias("types"))  # one entry a type
 
@@ -197,8 +198,8 @@ def name_points(rows: DataFrame) -> DataFrame:
             out = []
             for group, name, types in zip(frame["group_id"], frame["name"], frame["types"], strict=True):
                 for kind in kinds_of(name, {x["t"]: x["n"] for x in types}):
-                    out += [] if kind == ACTIVITY else [(group, name, scope, text, role) for scope, text, role in points(name, kind)]
-            yield pd.DataFrame(out, columns=["group_id", "name", "scope", "text", "role"])
+                    out += [] if kind == ACTIVITY else [(group, name, scope, typed if scope == "C" else sound(typed), typed, role) for scope, typed, role in points(name, kind)]
+            yield pd.DataFrame(out, columns=["group_id", "name", "scope", "text", "typed", "role"])
 
     return names.mapInPandas(read, POINT)
 
@@ -254,14 +255,27 @@ def swapped(texts: DataFrame) -> DataFrame:
     return turned.where("a < b").join(texts.select("scope", F.col("text").alias("b")), ["scope", "b"], "left_semi").select("scope", "a", "b")
 
 
+def slips_of(pts: DataFrame, disk: Scratch) -> DataFrame:
+    """(scope, a, b): pairs of different texts of ``pts(scope, text, typed)`` one slip apart, as they sound or as typed."""
+    forms = disk.save(pts.select("scope", "text", "typed").distinct())
+    long = lambda way, c: forms.where(F.length(c) >= TYPO_LENGTH).select(F.concat(F.lit(way), "scope").alias("scope"), F.col(c).alias("text")).distinct()
+    both = disk.save(long("h", "text").unionAll(long("t", "typed")))  # as heard, as typed: scopes of their own
+    near = radius_join(both, disk).unionAll(swapped(both)).select(F.substring("scope", 1, 1).alias("way"), F.expr("substring(scope, 2)").alias("scope"), "a", "b")
+    near = disk.save(near.distinct())
+    heard = lambda c: forms.select("scope", F.col("typed").alias(c), F.col("text").alias(f"{c}_text"))
+    typed = near.where("way = 't'").join(heard("a"), ["scope", "a"]).join(heard("b"), ["scope", "b"]).where("a_text <> b_text")
+    typed = typed.select("scope", F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b"))
+    return disk.save(near.where("way = 'h'").select("scope", "a", "b").unionAll(typed).distinct())
+
+
 def link_names(rows: DataFrame) -> DataFrame:
     """(group_id, name, entity) for the names of ``rows(group_id, name, entity_type_id)`` linked to another; ``entity`` names the group of spellings."""
     disk = Scratch(rows.sparkSession, "names")
     pts = name_points(rows).withColumn("scope", F.concat_ws("|", "group_id", "scope"))
     pts = disk.save(pts.distinct())
+    slips = slips_of(pts, disk)
+    pts = pts.drop("typed").distinct()
     texts = pts.select("scope", "text").distinct()
-    long = texts.where(F.length("text") >= TYPO_LENGTH)
-    slips = disk.save(radius_join(long, disk).unionAll(swapped(long)).distinct())
     both = slips.unionAll(slips.select("scope", F.col("b").alias("a"), F.col("a").alias("b")))
     same = texts.select("scope", F.col("text").alias("a"), F.col("text").alias("b"))
     pairs = both.unionAll(same)

@@ -52,3 +52,10 @@ def test_radius_join_is_complete(spark, monkeypatch, cell):
 def test_swapped(spark):
     df = spark.createDataFrame([("s", w) for w in ("abcde", "abdce", "badce", "abxde", "aab", "aba", "z")] + [("t", "bacde")], "scope string, text string")
     assert {(x.a, x.b) for x in N.swapped(df).collect()} == {("abcde", "abdce"), ("abdce", "badce"), ("aab", "aba")}
+
+
+@pytest.mark.parametrize("spellings", [("ZULEIKA KORTORQUAR", "Zuleika Kortorqar"), ("ULRICH DRAHUD", "Ulrixh Drahud"), ("Heron Station", "Heorn Station"), ("Westering Bookshop", "Westernig Bookshop")])
+def test_slip_in_letters_that_sound_alike(spark, spellings):
+    kind = 2 if spellings[0].split()[-1].lower() in N.THINGS else 1
+    rows = spark.createDataFrame([("g", n, kind) for n in spellings], "group_id string, name string, entity_type_id int")
+    assert [sorted(r[1:]) for r in N.variant_pairs(N.link_names(rows)).collect()] == [sorted(spellings)]
