@@ -11,7 +11,7 @@ nearest pivot and is copied to every cell whose pivot lies within its nearest di
 two edits in that metric, are found beside it by equality of the swapped text.
 
 Every text is compared twice, as folded and after letters that sound alike are made one, in scopes of their own: a slip
-that makes or breaks a group of such letters (qu, ch, rn) is one edit as typed and several as heard.
+that makes or breaks a group of such letters (qu, ch, rn) is one edit as typed and several as heard. Texts of several words are also compared word by word: one slip in a word, in long texts in each of two.
 
 Matches of full forms give the base groups; a group of short forms joins the one group of full names that it fits, and
 stays alone where several fit. Defined results: null, blank and one-letter names, the self entity, activities and rooms
@@ -34,8 +34,8 @@ from .components import connected_components
 #: Levenshtein radius of the join, pivots of a cell, points from which a cell is split again, rounds at most, and the share of
 #: its points that a cell must lose in a round to be split once more.
 RADIUS, PIVOTS, CELL, DEPTH, PROGRESS = 1, 16, 150, 4, 0.7
-#: Texts shorter than this must agree exactly.
-TYPO_LENGTH = 5
+#: Texts, and words compared alone, shorter than this must agree exactly; from ``LONG`` letters two words of a text may have a slip.
+TYPO_LENGTH, LONG = 5, 12
 
 # Titles, nicknames, abbreviations, generic rooms and areas; lower case, without accents.
 TITLES = set("dr prof mr mrs ms miss mme mlle frau herr sir dame doctor professor sig sra sr dott fr rev".split())
@@ -60,6 +60,9 @@ WORDS = {
 THINGS = set("""library observatory lake bookshop station railway cafe swimming pool museum bridge pharmacy cemetery park theatre market choir club mill housing
 association chess garden book gardening circle rowing group square common corner road robotics river team society wharf hill lane union credit terrace
 cycling brothers gate clinic company street valley school church hospital""".split())
+_BONES = Counter(w[0] + re.sub("[aeiou]", "", w[1:]) for w in THINGS)
+#: Words written without their vowels (brdg) where only one word is written so; from four letters, as shorter ones are also names cut short (Chr.).
+BARE = {b: w for w in sorted(THINGS) if len(b := w[0] + re.sub("[aeiou]", "", w[1:])) >= 4 and _BONES[b] == 1 and b != w and b[0] not in "aeiou"}
 ROOMS = re.compile(r"^(?:the )?(?:living|dining|laundry|bath|bed|guest|waiting|rest|store)?\s?(?:room|rooms|kitchen|balcony|patio|porch|deck|basement|garage|attic|hallway|hall|closet|bedroom|bathroom|yard|backyard|driveway)$")
 SELF_NAMES = {"i", "me", "my", "mine", "myself"}
 
@@ -86,6 +89,10 @@ def sound(text: str) -> str:
     return text
 
 
+def spelled_out(word: str) -> str:
+    return WORDS.get(word) or BARE.get(word, word)
+
+
 def tokens(name: str) -> tuple[list[str], bool, list[bool]]:
     """(folded words, whether a comma put the surname first, which words ended in a point)."""
     name = re.sub(r"(?<=[^\W\d_])[’'`]s\b", "", name.strip())
@@ -155,7 +162,7 @@ def _thing(name: str, words: list[str], comma: bool) -> list[tuple[str, str, str
     letters = re.fullmatch(r"(?:[A-Za-z]\.?\s?){2,6}", name.strip())
     if letters and name.strip().upper() == name.strip():
         return [("C", "".join(c for c in fold(name) if c.isalpha()), "short")]
-    words = [WORDS.get(w, w) for w in words]
+    words = [spelled_out(w) for w in words]
     out = [("T", " ".join(words), "full")]
     if len(words) > 1:
         out.append(("T", " ".join(sorted(words, key=sound)), "sorted"))
@@ -181,7 +188,7 @@ def kinds_of(name: str, types: dict[int, int]) -> list[int]:
         if t in (1, 2, 3, 4):
             votes[THING if t in (2, 3) else t] += n
     kind = max(sorted(votes), key=votes.get) if votes else PERSON
-    if any(WORDS.get(w, w) in THINGS for w in words) and not (words and words[0] in TITLES):
+    if any(spelled_out(w) in THINGS for w in words) and not (words and words[0] in TITLES):
         return [ACTIVITY] if kind == ACTIVITY and name == name.lower() else [THING]
     if re.fullmatch(r"(?:[A-Z]\.\s?){3,6}", name.strip()):
         return [THING]
@@ -255,9 +262,8 @@ def swapped(texts: DataFrame) -> DataFrame:
     return turned.where("a < b").join(texts.select("scope", F.col("text").alias("b")), ["scope", "b"], "left_semi").select("scope", "a", "b")
 
 
-def slips_of(pts: DataFrame, disk: Scratch) -> DataFrame:
-    """(scope, a, b): pairs of different texts of ``pts(scope, text, typed)`` one slip apart, as they sound or as typed."""
-    forms = disk.save(pts.select("scope", "text", "typed").distinct())
+def one_slip(forms: DataFrame, disk: Scratch) -> DataFrame:
+    """(scope, a, b): pairs of different texts of the distinct ``forms(scope, text, typed)`` one slip apart, as they sound or as typed."""
     long = lambda way, c: forms.where(F.length(c) >= TYPO_LENGTH).select(F.concat(F.lit(way), "scope").alias("scope"), F.col(c).alias("text")).distinct()
     both = disk.save(long("h", "text").unionAll(long("t", "typed")))  # as heard, as typed: scopes of their own
     near = radius_join(both, disk).unionAll(swapped(both)).select(F.substring("scope", 1, 1).alias("way"), F.expr("substring(scope, 2)").alias("scope"), "a", "b")
@@ -268,6 +274,33 @@ def slips_of(pts: DataFrame, disk: Scratch) -> DataFrame:
     return disk.save(near.where("way = 'h'").select("scope", "a", "b").unionAll(typed).distinct())
 
 
+def by_words(texts: DataFrame, near: DataFrame, disk: Scratch) -> DataFrame:
+    """(scope, a, b): pairs of the distinct ``texts(scope, text)`` that differ in one word, or in two where they are long, each by a pair of ``near(scope, a, b)``.
+
+    Found by equality of the text in which the words are replaced by the words near them.
+    """
+    near = near.select("scope", F.col("a").alias("w"), F.col("b").alias("v")).unionAll(near.select("scope", F.col("b").alias("w"), F.col("a").alias("v")))
+    at = disk.save(texts.select("scope", "text", F.posexplode(F.split("text", " ")).alias("i", "w")).join(near, ["scope", "w"]).select("scope", "text", "i", "v"))
+    words = F.split("text", " ")
+    one = at.select("scope", F.col("text").alias("a"), F.array_join(F.transform(words, lambda w, k: F.when(k == F.col("i"), F.col("v")).otherwise(w)), " ").alias("b"))
+    pairs = at.where(F.length("text") >= LONG).join(at.select("scope", "text", F.col("i").alias("j"), F.col("v").alias("u")), ["scope", "text"]).where("i < j")
+    two = pairs.select("scope", F.col("text").alias("a"), F.array_join(F.transform(words, lambda w, k: F.when(k == F.col("i"), F.col("v")).when(k == F.col("j"), F.col("u")).otherwise(w)), " ").alias("b"))
+    return one.unionAll(two).where("a < b").join(texts.select("scope", F.col("text").alias("b")), ["scope", "b"], "left_semi").select("scope", "a", "b")
+
+
+def slips_of(pts: DataFrame, disk: Scratch) -> DataFrame:
+    """(scope, a, b): pairs of different texts of ``pts(scope, text, typed)`` that are slips of each other, as a whole or word by word."""
+    forms = disk.save(pts.select("scope", "text", "typed").distinct())
+    several = forms.where("text LIKE '% %'")
+    word = F.explode(F.arrays_zip(F.split("text", " ").alias("text"), F.split("typed", " ").alias("typed"))).alias("w")
+    words = several.select("scope", word).select("scope", "w.text", "w.typed").distinct()
+    mark = lambda d, m: d.select(F.concat(F.lit(m), "scope").alias("scope"), "text", "typed")
+    near = one_slip(disk.save(mark(forms, "x").unionAll(mark(words, "w"))), disk)  # whole texts and words: scopes of their own
+    near = near.select(F.substring("scope", 1, 1).alias("m"), F.expr("substring(scope, 2)").alias("scope"), "a", "b")
+    parts = by_words(several.select("scope", "text").distinct(), near.where("m = 'w'").drop("m"), disk)
+    return disk.save(near.where("m = 'x'").drop("m").unionAll(parts).distinct())
+
+
 def link_names(rows: DataFrame) -> DataFrame:
     """(group_id, name, entity) for the names of ``rows(group_id, name, entity_type_id)`` linked to another; ``entity`` names the group of spellings."""
     disk = Scratch(rows.sparkSession, "names")

@@ -59,3 +59,14 @@ def test_slip_in_letters_that_sound_alike(spark, spellings):
     kind = 2 if spellings[0].split()[-1].lower() in N.THINGS else 1
     rows = spark.createDataFrame([("g", n, kind) for n in spellings], "group_id string, name string, entity_type_id int")
     assert [sorted(r[1:]) for r in N.variant_pairs(N.link_names(rows)).collect()] == [sorted(spellings)]
+
+
+@pytest.mark.parametrize("spellings", [("Greg0ry Jasigven", "Gregory Jasigvrn"), ("Gregroy Jasigven", "Gregory Jasigvrn"), ("Garnet Railway Brdg", "Garnet Railway Bridge"), ("Garmet Railwya Bridge", "Garnet Railway Bridge")])
+def test_two_slips_in_two_words(spark, spellings):
+    kind = 2 if "Garnet Railway Bridge" in spellings else 1
+    rows = spark.createDataFrame([("g", n, kind) for n in (*spellings, "Maria Kelmun", "Marta Felmut")], "group_id string, name string, entity_type_id int")
+    assert [sorted(r[1:]) for r in N.variant_pairs(N.link_names(rows)).collect()] == [sorted(spellings)]
+
+
+def test_bare_words():
+    assert N.spelled_out("brdg") == "bridge" and N.spelled_out("bridge") == "bridge" and N.spelled_out("brk") == "brk"
