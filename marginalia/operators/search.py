@@ -31,13 +31,15 @@ def cosine_top(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: in
     Queries travel in blocks; each task scores a batch against a block as one matrix product and keeps ``k`` a query.
     """
     numbered = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).where(F.size("q") > 0)
-    blocks = numbered.withColumn("block", F.floor(F.pmod(F.xxhash64("query"), F.lit(1 << 20)) / block)).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
+    parts = max(1, -(-numbered.count() // block))
+    blocks = numbered.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(parts))).groupBy("block").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
     kind = rows.schema[key].dataType.simpleString()
     out = None
     for part in blocks.toLocalIterator():  # a block at a time
         ids = [x["query"] for x in part["qs"]]
         unit = np.array([x["q"] for x in part["qs"]], np.float64)
-        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
+        length = np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = np.where(length > 0, unit / np.maximum(length, 1e-30), np.nan)
 
         def score(batches: Iterator[pd.DataFrame], ids: list = ids, unit: np.ndarray = unit) -> Iterator[pd.DataFrame]:
             for frame in batches:
@@ -46,12 +48,15 @@ def cosine_top(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: in
                     continue
                 m = np.array(good["v"].to_list(), np.float64)
                 size = np.linalg.norm(m, axis=1)
-                sims = np.where(size > 0, unit @ (m / np.maximum(size, 1e-30)[:, None]).T, -np.inf)
+                # Equal vectors may differ in the last bits by their place in the product.
+                sims = np.where(size > 0, np.round(unit @ (m / np.maximum(size, 1e-30)[:, None]).T, 12), -np.inf)
                 found = []
+                keys = good["k"].to_numpy()
+                order = np.argsort(keys, kind="stable")  # equal similarities by key, as in the end
                 for i, q in enumerate(ids):
-                    for j in np.argsort(-sims[i], kind="stable")[: k + 1]:
-                        if good["k"].iloc[j] != q and np.isfinite(sims[i, j]):
-                            found.append((q, good["k"].iloc[j], float(sims[i, j])))
+                    for j in order[np.argsort(-sims[i][order], kind="stable")][: k + 1]:
+                        if keys[j] != q and np.isfinite(sims[i, j]):
+                            found.append((q, keys[j], float(sims[i, j])))
                 yield pd.DataFrame(found, columns=["query", key, "similarity"])
 
         scored = rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(score, f"query {kind}, {key} {kind}, similarity double")
