@@ -31,10 +31,16 @@ def suppress_filter(spark, folder):  # noqa: ANN001, ANN201
 
 
 def suppressed_flags(spark, folder):  # noqa: ANN001, ANN201
-    """Q17"""
+    """places of names a journal; the flags themselves are in suppressed_names"""
     return resolve.is_suppressed(_names(spark, folder).dropDuplicates(["group_id", "episode_uuid", "pos"]).withColumn("name", F.col("name")), _suppressed(spark, folder)).groupBy("group_id").agg(F.count("*").alias("n"))
 
 
+def suppressed_names(spark, folder):  # noqa: ANN001, ANN201
+    """Q17: whether the name of each place in an entry is suppressed"""
+    n = _names(spark, folder).groupBy("group_id", "episode_uuid", "pos").agg(F.min("name").alias("name"))
+    return resolve.is_suppressed(n, _suppressed(spark, folder)).select("group_id", "episode_uuid", "pos", "name", "suppressed")
+
+
 def name_cleanup(spark, folder):  # noqa: ANN001, ANN201
     """T13"""
     return _names(spark, folder).select("name").distinct().select("name", fx.clean_entity_name(F.col("name")).alias("cleaned"))
@@ -263,7 +269,7 @@ def import_idempotent(spark, folder):  # noqa: ANN001, ANN201
 
 
 QUERIES = {f.__name__: f for f in (
-    suppress_filter, suppressed_flags, name_cleanup, batch_dedupe, candidate_contains, exact_resolve, similar_resolve, resolved_names, extract_pipeline_counters, pointer_remap, edge_build, edge_merge, edge_rules,
+    suppress_filter, suppressed_flags, suppressed_names, name_cleanup, batch_dedupe, candidate_contains, exact_resolve, similar_resolve, resolved_names, extract_pipeline_counters, pointer_remap, edge_build, edge_merge, edge_rules,
     all_pairs_edges, retry_dead, status_counts, pending_queue, queue_pop, task_queue, orphan_state, display_states, panel_states, entity_f1, relation_f1, attribute_match, document_texts, fulltext_query, token_search,
     cosine_topk, uuid5_ids, dayone_clean, xml_posts, import_idempotent,
 )}
@@ -298,6 +304,8 @@ built AS (SELECT rec.group_id, rec.episode_uuid, s.uuid AS source_uuid, t.uuid A
 ORACLES = {
     "suppress_filter": _NAMES + "SELECT group_id, episode_uuid, pos, name FROM kept",
     "suppressed_flags": _NAMES + "SELECT group_id, count(DISTINCT (episode_uuid, pos)) AS n FROM names GROUP BY ALL",
+    "suppressed_names": _NAMES + """, one AS (SELECT group_id, episode_uuid, pos, min(name) AS name FROM names GROUP BY ALL)
+SELECT *, EXISTS (SELECT 1 FROM sup s WHERE s.group_id = o.group_id AND s.name_lc = lower(o.name) AND (s.episode_uuid IS NULL OR s.episode_uuid = o.episode_uuid)) AS suppressed FROM one o""",
     "name_cleanup": _NAMES + f"SELECT DISTINCT name, {_CLEANED} AS cleaned FROM names",
     "batch_dedupe": _NAMES + f""", one AS (SELECT group_id, episode_uuid, pos, min(name) AS name FROM names GROUP BY ALL), c AS (SELECT group_id, episode_uuid, pos, {_CLEANED} AS name FROM one)
 SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY group_id, episode_uuid, lower(name) ORDER BY pos) AS r FROM c WHERE name IS NOT NULL) WHERE r = 1""",
