@@ -2,7 +2,7 @@
 
 1. Soft membership: a text of a known source belongs to it; a text without one gets posteriors over the sources from a naive
    Bayes classifier over hashed words, whose counts cover all labelled texts and whose temperature is fitted on rows
-   held out of the counts.
+   held out of the counts; afterwards they are counted too.
 2. Rates: nonnegative repetition rates, at most the cap of the text, by projected gradient on the squared distance between expected
    tokens per source and their targets. Each step needs one number a source from the cluster.
 3. Copies: the whole part of the rate, and one more for the texts first in hash order until the source's tokens are
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Scratch
@@ -38,30 +39,39 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
     k = len(sources)
     known = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source"))
     rows = docs.withColumn("label", F.when(F.coalesce(known, F.lit(0)) > 0, (known - 1).cast("int"))).withColumn("held", F.pmod(F.xxhash64("doc"), F.lit(HELD)) == 0)
-    priors, table, temperature = np.full(k, -np.log(k)), np.zeros((k, WORDS)), 1.0
-    if not rows.where("label IS NULL").isEmpty():
-        words = rows.where("label IS NOT NULL AND NOT held").select("label", F.explode(_word_ids(F.col("text"))).alias("w")).groupBy("label", "w").count().toPandas()  # sources * WORDS rows at most
-        texts = rows.where("label IS NOT NULL AND NOT held").groupBy("label").count().toPandas()
+    temperature = 1.0
+
+    def model(words: pd.DataFrame, texts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(priors, log shares of the words) from counts (label, held, w, count) and (label, held, count)."""
         counts, sizes = np.ones((k, WORDS)), np.zeros(k)
-        counts[words["label"], words["w"]] += words["count"]
-        sizes[texts["label"]] += texts["count"]
+        np.add.at(counts, (words["label"].to_numpy(int), words["w"].to_numpy(int)), words["count"].to_numpy(float))
+        np.add.at(sizes, texts["label"].to_numpy(int), texts["count"].to_numpy(float))
         with np.errstate(divide="ignore"):  # a source without texts keeps no probability
-            table, priors = np.log(counts / counts.sum(1, keepdims=True)), np.log(sizes / max(sizes.sum(), 1))
-        priors = priors if sizes.any() else np.zeros(k)
-    shared = docs.sparkSession.sparkContext.broadcast((priors, table))
+            priors = np.log(sizes / max(sizes.sum(), 1)) if sizes.any() else np.zeros(k)
+        return priors, np.log(counts / counts.sum(1, keepdims=True))
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, logs = shared.value
-        for frame in batches:
-            yield pd.DataFrame({"doc": frame["doc"], "label": frame["label"], "e": [logs[:, np.asarray(w, np.int64)].sum(1) for w in frame["ids"]]})
+    fitted = whole = (np.full(k, -np.log(k)), np.zeros((k, WORDS)))
+    if not rows.where("label IS NULL").isEmpty():
+        labelled = rows.where("label IS NOT NULL")
+        words = labelled.select("label", "held", F.explode(_word_ids(F.col("text"))).alias("w")).groupBy("label", "held", "w").count().toPandas()  # 2 * sources * WORDS rows at most
+        texts = labelled.groupBy("label", "held").count().toPandas()
+        fitted, whole = model(words[~words["held"]], texts[~texts["held"]]), model(words, texts)
+    context = docs.sparkSession.sparkContext
+    shared, final = context.broadcast(fitted), context.broadcast(whole)
+
+    def scored(part: DataFrame, counted: Broadcast) -> DataFrame:
+        def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            _, logs = counted.value
+            for frame in batches:
+                yield pd.DataFrame({"doc": frame["doc"], "label": frame["label"], "e": [logs[:, np.asarray(w, np.int64)].sum(1) for w in frame["ids"]]})
 
-    def scored(part: DataFrame) -> DataFrame:
         return part.select("doc", "label", _word_ids(F.col("text")).alias("ids")).mapInPandas(evidence, f"doc {docs.schema['doc'].dataType.simpleString()}, label int, e array<double>")
 
-    if table.any():
+    if fitted[1].any():
         def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prior, _ = shared.value
             for frame in batches:
+                frame = frame[np.isfinite(prior[frame["label"].to_numpy(int)])]  # of sources that the counts know
                 e, y = np.stack(frame["e"].to_list()) if len(frame) else np.zeros((0, k)), frame["label"].to_numpy(int)
                 out = []
                 for t in TEMPERATURES:
@@ -70,16 +80,16 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
                     out.append(float((np.log(np.exp(x).sum(1)) - x[np.arange(len(y)), y]).sum()))
                 yield pd.DataFrame({"t": TEMPERATURES, "loss": out})
 
-        tried = scored(rows.where("label IS NOT NULL AND held")).mapInPandas(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
+        tried = scored(rows.where("label IS NOT NULL AND held"), shared).mapInPandas(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
         temperature = float(tried.sort_values(["loss", "t"])["t"].iloc[0]) if len(tried) else 1.0
 
     def soften(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prior, _ = shared.value
+        prior, _ = final.value
         for frame in batches:
             x = [e / temperature + prior for e in frame["e"]]
             yield pd.DataFrame({"doc": frame["doc"], "p": [np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in x]})
 
-    soft = scored(rows.where("label IS NULL")).mapInPandas(soften, f"doc {docs.schema['doc'].dataType.simpleString()}, p array<double>")
+    soft = scored(rows.where("label IS NULL"), final).mapInPandas(soften, f"doc {docs.schema['doc'].dataType.simpleString()}, p array<double>")
     hard = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
     columns = ["doc", "tokens", "source", "p"]
     unlabelled = rows.where("label IS NULL").select("doc", "tokens", "source").join(soft, "doc").select(*columns)

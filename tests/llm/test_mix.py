@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from marginalia.llm.mix import mixture, shares
+from marginalia.llm.mix import HELD, mixture, shares
 
 SCHEMA = "doc bigint, tokens bigint, source string, text string"
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.15, 3), ("none", 0.05, 4)]
@@ -26,3 +27,10 @@ def test_shares_are_reached(spark):
 
 def test_nothing_to_mix(spark):
     assert mixture(docs(spark).where("source = 'zzz'"), TARGETS).count() == 0
+
+
+def test_held_texts_count_in_the_end(spark):
+    held = spark.range(1000, 2000).where(F.pmod(F.xxhash64("id"), F.lit(HELD)) == 0).first().id
+    rows = [(i, 10, "a", "apple pear plum") for i in range(200)] + [(held, 10, "b", "iron steel zinc"), (5000, 10, None, "zinc iron steel " * 6)]
+    mixed = mixture(spark.createDataFrame(rows, SCHEMA), [("a", 0.5, 1), ("b", 0.5, 5)])
+    assert mixed.where("doc = 5000").first().member_of == "b"
