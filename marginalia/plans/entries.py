@@ -188,7 +188,7 @@ def panel_states(spark, folder):  # noqa: ANN001, ANN201
 
 
 def entity_f1(spark, folder):  # noqa: ANN001, ANN201
-    """Names of an entry against the entities linked to it"""
+    """A fixture for the metric alone: extracted names against themselves without the first place; says nothing about linking"""
     gold = _names(spark, folder).select("episode_uuid", metrics.entity_key(F.col("name"), F.coalesce("entity_type_id", F.lit(-1))).alias("item"))
     have = _names(spark, folder).where("pos > 0").select("episode_uuid", metrics.entity_key(fx.strip(F.col("name")), F.coalesce("entity_type_id", F.lit(-1))).alias("item"))
     s = metrics.set_scores(gold, have, "episode_uuid", "item")
@@ -196,7 +196,7 @@ def entity_f1(spark, folder):  # noqa: ANN001, ANN201
 
 
 def relation_f1(spark, folder):  # noqa: ANN001, ANN201
-    """X02, A14"""
+    """A fixture for the metric alone: mentions against themselves without place 2"""
     m = star.mentions(spark, folder)
     item = metrics.relation_key(F.col("entity_uuid").cast("string"), F.col("pos").cast("string"), F.lit("knows"))
     s = metrics.set_scores(m.select("episode_uuid", item.alias("item")), m.where("pos <> 2").select("episode_uuid", item.alias("item")), "episode_uuid", "item")
