@@ -212,7 +212,7 @@ def attribute_match(spark, folder):  # noqa: ANN001, ANN201
 
 
 def document_texts(spark, folder):  # noqa: ANN001, ANN201
-    """T05, T16, T18, T11, T26, T28"""
+    """T05, T11"""
     d = table(spark, folder, "documents")
     return d.select("doc_id", fx.token_estimate(F.col("text")).alias("estimate"), fx.search_text(F.col("text")).alias("search"))
 
