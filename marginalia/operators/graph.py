@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import Scratch
+
 
 def point(table: DataFrame, group: str, uuid) -> DataFrame:  # noqa: ANN001
     """One row by key, or none; the filter reaches the scan."""
@@ -143,15 +145,35 @@ def relations_of(relations: DataFrame, en: DataFrame) -> DataFrame:
     return relations.join(source, ["group_id", "source_uuid"]).join(target, ["group_id", "target_uuid"])
 
 
-def path_lengths(edges: DataFrame, start, end, most: int = 6) -> DataFrame:  # noqa: ANN001
-    """(length, paths): numbers of directed paths from ``start`` to ``end`` over ``edges(id, src, dst)``, no edge used twice.
+def path_lengths(edges: DataFrame, start, end) -> DataFrame:  # noqa: ANN001
+    """(length, paths): numbers of directed paths of any length from ``start`` to ``end`` over ``edges(id, src, dst)``, no edge used twice.
 
-    One join a step up to ``most``; the edges used travel with the path, so cycles end.
+    One join a step until no path goes on; the edges used travel with the path, so cycles end. Only edges on some way
+    from ``start`` to ``end`` are followed, so dead ends cost no paths. Steps are written to the shared folder.
     """
-    reach = edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.array("id").alias("used"))
-    found = reach.where(F.col("at") == end).select(F.lit(1).alias("length"))
-    for length in range(2, most + 1):
+    disk = Scratch(edges.sparkSession, "paths")
+    edges = disk.save(_between(edges.select("id", "src", "dst").dropna(), start, end, disk))
+    reach = disk.save(edges.where(F.col("src") == start).select(F.col("dst").alias("at"), F.array("id").alias("used")))
+    found = reach.where(F.col("at") == end).agg(F.lit(1).alias("length"), F.count("*").alias("paths"))
+    length = 1
+    while not reach.isEmpty():
+        length += 1
         step = reach.join(edges, reach["at"] == edges["src"]).where(~F.array_contains("used", F.col("id")))
-        reach = step.select(F.col("dst").alias("at"), F.array_append("used", F.col("id")).alias("used"))
-        found = found.unionAll(reach.where(F.col("at") == end).select(F.lit(length).alias("length")))
-    return found.groupBy("length").agg(F.count("*").alias("paths"))
+        reach = disk.save(step.select(F.col("dst").alias("at"), F.array_append("used", F.col("id")).alias("used")))
+        found = found.unionAll(reach.where(F.col("at") == end).agg(F.lit(length).alias("length"), F.count("*").alias("paths")))
+    out = disk.save(found.where("paths > 0"), keep=True)
+    disk.clean()
+    return out
+
+
+def _between(edges: DataFrame, start, end, disk: Scratch) -> DataFrame:  # noqa: ANN001
+    """The ``edges`` that lie on a walk from ``start`` to ``end``: reached forwards from the one and backwards from the other."""
+    for spot, near, far in ((start, "src", "dst"), (end, "dst", "src")):
+        seen = disk.save(edges.where(F.col(near) == spot).select(F.col(near).alias("v")).distinct())
+        fresh = seen
+        while not fresh.isEmpty():
+            ahead = edges.join(fresh.withColumnRenamed("v", near), near, "left_semi").select(F.col(far).alias("v")).distinct()
+            fresh = disk.save(ahead.join(seen, "v", "left_anti"))
+            seen = seen.unionAll(fresh)
+        edges = edges.join(seen.withColumnRenamed("v", near), near, "left_semi")
+    return edges

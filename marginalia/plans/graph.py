@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dates
 from ..operators import graph, listing, mutations
@@ -113,9 +113,10 @@ def relations_by_group(spark, folder):  # noqa: ANN001, ANN201
 
 
 def path_lengths(spark, folder):  # noqa: ANN001, ANN201
-    """J18 over regions, nations and a return edge"""
+    """J18 over regions, their nations, and from the first two nations of a region on to the next region: rings, and paths of 4 and 14 edges"""
     n = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_regionkey").cast("bigint").alias("r"))
-    edges = n.select((F.col("k")).alias("id"), (F.col("r") + 100).alias("src"), F.col("k").alias("dst")).unionAll(n.select((F.col("k") + 50).alias("id"), F.col("k").alias("src"), (F.col("r") + 1) % 5 + 100))
+    first = n.withColumn("no", F.row_number().over(Window.partitionBy("r").orderBy("k"))).where("no <= 2")  # 25 nations
+    edges = n.select((F.col("k")).alias("id"), (F.col("r") + 100).alias("src"), F.col("k").alias("dst")).unionAll(first.select((F.col("k") + 50).alias("id"), F.col("k").alias("src"), (F.col("r") + 1) % 5 + 100))
     return graph.path_lengths(edges, 100, 102)
 
 
@@ -228,7 +229,7 @@ def self_entity_upsert(spark, folder):  # noqa: ANN001, ANN201
     """What the self entity has stays, what is missing comes"""
     have = table(spark, folder, "entities").where(F.col("uuid") == mutations.SELF_UUID)
     groups_ = table(spark, folder, "episodes").select("group_id").distinct()
-    out = mutations.ensure_self(have.dropDuplicates(["group_id"]), groups_, F.lit("2020-01-01").cast("timestamp"))
+    out = mutations.ensure_self(have.groupBy("group_id").agg(F.min_by(F.struct(*have.columns), F.struct(F.coalesce("created_at", F.lit("1900-01-01").cast("timestamp")), F.coalesce("summary", F.lit("")))).alias("x")).select("x.*"), groups_, F.lit("2020-01-01").cast("timestamp"))
     return out.select("group_id", "uuid", "name", "labels", F.coalesce("summary", F.lit("-")).alias("summary"))
 
 
@@ -272,7 +273,7 @@ WHERE a.group_id = '{GROUP}' AND a.entity_uuid = {TARGET} AND en.name <> '{SELF}
 WHERE valid_at >= '{START}' AND valid_at < '{END}' GROUP BY ALL""",
     "period_top_names": VIEWS + f""", seen AS (SELECT n.group_id, n.name, n.uuid, n.pos, ep.valid_at, ep.uuid AS e FROM ep JOIN nodes n ON n.group_id = ep.group_id AND n.episode_uuid = ep.uuid WHERE n.name <> '{SELF}' AND valid_at >= '{START}' AND valid_at < '{END}'),
 per AS (SELECT group_id, name, count(*) AS frequency, max((valid_at, e, -pos, uuid)) AS newest FROM seen GROUP BY ALL)
-SELECT group_id, name, frequency, arg_max_uuid AS uuid, rank FROM (SELECT p.*, (SELECT s.uuid FROM seen s WHERE s.group_id = p.group_id AND s.name = p.name ORDER BY s.valid_at DESC, s.e DESC, s.pos LIMIT 1) AS arg_max_uuid,
+SELECT group_id, name, frequency, arg_max_uuid AS uuid, rank FROM (SELECT p.*, (SELECT s.uuid FROM seen s WHERE s.group_id = p.group_id AND s.name = p.name ORDER BY s.valid_at DESC, s.e DESC, s.pos, s.uuid DESC LIMIT 1) AS arg_max_uuid,
   row_number() OVER (PARTITION BY group_id ORDER BY frequency DESC, newest DESC, name) AS rank FROM per p) WHERE rank <= 20""",
     "recent_asof": VIEWS + """, probe AS (SELECT group_id, CAST(t AS TIMESTAMP) AS probe FROM grp, (VALUES ('1995-01-01'), ('1996-02-29'), ('1999-12-31 12:00:00')) x(t))
 SELECT group_id, probe, uuid, valid_at, rank FROM (SELECT ep.group_id, probe, uuid, valid_at, row_number() OVER (PARTITION BY ep.group_id, probe ORDER BY valid_at DESC, uuid DESC) AS rank FROM ep JOIN probe ON ep.group_id = probe.group_id AND valid_at <= probe) WHERE rank <= 5""",
@@ -283,8 +284,8 @@ SELECT group_id, probe, uuid, valid_at, rank FROM (SELECT ep.group_id, probe, uu
     "entities_of_group": VIEWS + f"SELECT * FROM en WHERE group_id = '{GROUP}' OR name = '{SELF}'",
     "relations_by_group": VIEWS + """, few AS (SELECT * FROM en WHERE type <> 'ECONOMY'), rel AS (SELECT a.group_id, a.episode_uuid AS episode, a.entity_uuid AS source_uuid, b.entity_uuid AS target_uuid FROM m a JOIN m b ON a.group_id = b.group_id AND a.episode_uuid = b.episode_uuid AND b.pos = a.pos + 1)
 SELECT rel.*, s.name AS source_name, t.name AS target_name FROM rel JOIN few s ON s.group_id = rel.group_id AND s.uuid = source_uuid JOIN few t ON t.group_id = rel.group_id AND t.uuid = target_uuid""",
-    "path_lengths": """WITH RECURSIVE e AS (SELECT n_nationkey AS id, n_regionkey + 100 AS src, n_nationkey AS dst FROM nation UNION ALL SELECT n_nationkey + 50, n_nationkey, (n_regionkey + 1) % 5 + 100 FROM nation),
-walk(spot, used, length) AS (SELECT dst, [id], 1 FROM e WHERE src = 100 UNION ALL SELECT e.dst, list_append(used, e.id), length + 1 FROM walk JOIN e ON e.src = spot WHERE NOT list_contains(used, e.id) AND length < 6)
+    "path_lengths": """WITH RECURSIVE e AS (SELECT n_nationkey AS id, n_regionkey + 100 AS src, n_nationkey AS dst FROM nation UNION ALL SELECT n_nationkey + 50, n_nationkey, (n_regionkey + 1) % 5 + 100 FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 2),
+walk(spot, used, length) AS (SELECT dst, [id], 1 FROM e WHERE src = 100 UNION ALL SELECT e.dst, list_append(used, e.id), length + 1 FROM walk JOIN e ON e.src = spot WHERE NOT list_contains(used, e.id))
 SELECT length, count(*) AS paths FROM walk WHERE spot = 102 GROUP BY ALL""",
     "friends_of": "SELECT c_custkey, s_suppkey, s_name FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000",
     "department_stats": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 2) AS mean, max(c_acctbal) AS top FROM customer GROUP BY ALL",
@@ -312,7 +313,7 @@ al AS (SELECT group_id, uuid, name FROM en ANTI JOIN new USING (group_id, uuid)
     "upsert_mentions": VIEWS + _HAVE + """, new AS (SELECT group_id, uuid + 10000000 AS uuid, episode_uuid + 5 AS episode_uuid, entity_uuid * 2 AS entity_uuid FROM m WHERE uuid % 11 = 0),
 ok AS (SELECT new.* FROM new SEMI JOIN ep ON ep.group_id = new.group_id AND ep.uuid = new.episode_uuid), ok2 AS (SELECT ok.* FROM ok SEMI JOIN have ON have.group_id = ok.group_id AND have.uuid = ok.entity_uuid),
 al AS (SELECT group_id, uuid FROM m UNION ALL SELECT group_id, uuid FROM ok2) SELECT group_id, count(*) AS n, sum(uuid)::BIGINT AS keys FROM al GROUP BY ALL""",
-    "self_entity_upsert": """SELECT g.group_id, '11111111-1111-1111-1111-111111111111' AS uuid, 'I' AS name, ['Entity', 'Person'] AS labels, coalesce(any_value(e.summary), '-') AS summary
+    "self_entity_upsert": """SELECT g.group_id, '11111111-1111-1111-1111-111111111111' AS uuid, 'I' AS name, ['Entity', 'Person'] AS labels, coalesce(nullif(arg_min(coalesce(e.summary, ''), (coalesce(e.created_at, TIMESTAMP '1900-01-01'), coalesce(e.summary, ''))), ''), '-') AS summary
 FROM (SELECT DISTINCT group_id FROM episodes) g LEFT JOIN entities e ON e.group_id = g.group_id AND e.uuid = '11111111-1111-1111-1111-111111111111' GROUP BY g.group_id""",
     "update_effect": VIEWS + """SELECT group_id, uuid, CASE WHEN uuid % 10 = 0 THEN 'renamed' ELSE name END AS name, CASE WHEN uuid % 20 = 0 THEN 8 ELSE length(content) END AS size, uuid % 20 = 0 AS content_changed FROM ep""",
 }
