@@ -1,68 +1,56 @@
 """Personal information inside free text: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Training: labelled spans come from the journals themselves. On a bounded sample of entries (``SAMPLE_TEXTS``), person names are
-those extracted from the same entry, the other kinds are marked by format rules; a copy of each text with other
-names in place of its own teaches form and context instead of a list. Application: overlapping windows are scored, the
-scores of characters seen by two windows are averaged with weights falling to the window's edge, and one Viterbi path over
-the whole text decides. An exact check follows: spans are widened to whole words, trimmed, held against the least a
-kind must contain, and take the boundaries of the format rule they overlap.
+Training: on a bounded sample of entries (``SAMPLE_TEXTS``), person names are those extracted from the same entry and
+the other kinds are marked loosely by shape (``pii_forms``); where a bare number may be either of two kinds, its window
+leaves. A copy of each text has other names and other values in place of its own, drawn from many countries' formats,
+and sentences made round such values stand between its sentences: the network learns form and context, not a list.
+Halfway, windows in which it firmly finds a name that no label knows leave too. Weights are stored in the shared folder
+under a hash of what they were fitted on, and loaded where they are there.
+
+Application: overlapping windows are scored, the scores of characters seen by two windows are averaged with weights
+falling to the window's edge, and one Viterbi path over the whole text decides kind and boundaries. An exact check
+follows: spans are widened to whole words, trimmed, and dropped where they lack what their kind must contain. No format
+rule is consulted when a text is read.
 
 Defined results: null or empty text has no span; whole texts of any length are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import ensure_checkpoint_dir
+from .pii_forms import STREETS_EN, Forms, Span, loose_marks
 
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 #: O, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-HIDDEN, CHARS, CLASSES = 40, 160, 8
-#: Entries in the training sample, windows one entry gives at most, training window, batch, epochs, step.
-SAMPLE_TEXTS, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE = 1600, 4, 128, 48, 8, 0.01
+HIDDEN, CHARS, CLASSES = 56, 192, 8
+#: Entries in the training sample, characters of them at most, windows one entry gives at most, training window, batch, epochs, step.
+SAMPLE_TEXTS, SAMPLE_CHARS, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE = 1600, 2_000_000, 4, 128, 12, 12, 0.008
+#: Parts of the windows fitted at once, and rounds of an epoch after which they are averaged.
+WORKERS, ROUNDS = 6, 2
 #: Window and overlap when reading whole texts; windows scored at once.
-WINDOW, OVERLAP, AT_ONCE = 256, 64, 384
-
-_WORDISH = r"[^\W\d_]"
-_TOWN = r"(?:\s(?:of\s)?(?!ZZ)[A-ZÀ-Þ][\wÀ-ÿ'’-]+){1,2}"
-_AFTER = rf"(?:,\s(?:Apt|Flat|Unit|Suite|No\.?)\s?\w+)?(?:,\s\d{{1,2}}º\s?\w+)?(?:,(?:\s\d{{5}})?{_TOWN}(?:,?\sZZ\d{{0,2}}\s?\w{{3,5}})?|,\sZZ\s?\d{{5}})?"
-_EN = r"(?:(?:avenue|street|road|lane|court|close|crescent|drive|terrace|boulevard|way|place|square|gardens|row|mews|hill)\b|(?:ave|st|rd|ln|ct|dr|blvd|cres|terr|pl|sq)\b\.?)"
-#: Format rules that mark the training rows and set boundaries, tried in this order.
-RULES = [
-    ("email", re.compile(r"(?<![\w.+@-])[A-Za-z0-9][\w.+-]*(?:\s?(?:@|\(at\)|\[at\]|\{at\})\s?(?:[A-Za-z0-9-]+\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|dot\s)\s?)+|\sat\s(?:[A-Za-z0-9-]+\s(?:dot)\s)+)[A-Za-z]{2,}(?![\w@])")),
-    ("street_address", re.compile(rf"(?:(?:Flat|Apt|Unit)\s\w+,\s)?(?<![\w.,:-])\d{{1,5}}(?:\s?(?:bis|ter)|[a-d])?,?\s(?:[NSEW]\.?\s)?(?:[A-ZÀ-Þa-zà-ÿ][\wÀ-ÿ'’]+\s){{1,3}}?(?i:{_EN}){_AFTER}")),
-    ("street_address", re.compile(rf"\b\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?i:rue|avenue|impasse|allée|place|boulevard|chemin|quai)\s(?:(?:de|du|des|la|le|les)\s|d['’]|l['’])*[\wÀ-ÿ'’-]+(?:\s[A-ZÀ-Þ][\wÀ-ÿ'’-]+)*{_AFTER}")),
-    ("street_address", re.compile(rf"\b(?:[A-ZÄÖÜa-zäöü][\wäöüß]{{2,}}(?i:straße|strasse|weg|gasse|allee|ring|damm|ufer|str\.)|(?:Am|An der|Im|Zum|Zur)\s[A-ZÄÖÜ]\w+(?:\s[A-ZÄÖÜ]\w+)?)\s\d{{1,4}}[a-z]?\b{_AFTER}")),
-    ("street_address", re.compile(rf"(?:(?i:calle|avenida|avda\.?|plaza|paseo|camino)|C/)\s?(?:(?:de|del|la|las|los|el)\s)*[A-ZÀ-Þa-zà-ÿ][\wÀ-ÿ]+(?:\s[A-ZÀ-Þ][\wÀ-ÿ]+)*,?\s\d{{1,4}}{_AFTER}")),
-    ("street_address", re.compile(rf"(?:P\.?\s?O\.?\s?Box|PO\sBox|Post(?:fach|bus)|Apartado(?:\sde\sCorreos)?|B\.?P\.?|Boîte\spostale|Box)\s\d{{1,6}}{_AFTER}")),
-    ("phone", re.compile(r"(?<![\w-])1?[2-9]\d{2}555\d{4}(?![\w-])")),
-    ("id_number", re.compile(r"(?<![\w-])(?:QQ\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|9\d{2}[- ]\d{2}[- ]\d{4}|[12]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}\s\d{2}|[12]\d{14}|\d{2}\s\d{3}\s\d{3}\s\d{3}|\d{11}|\d{9}|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]?|[A-Z]\d[A-Z0-9]\d{5,6}[A-Z]?|[A-Z]\d{7,8})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w.,-])(?:(?:\+|00)\d{1,3}[\s./-]?(?:\(0\)\s?)?(?:\(?\d{1,5}\)?[\s./-]?){2,6}|\(?0\d{1,4}\)?[\s./-]\d(?:[\d\s./-]{3,11})\d|0\d{9,10}|\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}|\d{3}[.-]\d{4})(?<=\d)(?:\s?(?:ext\.?|extension|x|Durchwahl|poste|Apparat|App\.)\s?\d{1,5})?(?![\w-])")),
-]
+WINDOW, OVERLAP, AT_ONCE = 320, 48, 384
+
 TITLE = re.compile(r"^(?:(?:dr|prof|mr|mrs|ms|miss|herr|frau|sir|sra?|señora?|mme|mlle|m|dott|sig)\b\.?\s+)+", re.I)
+#: Last words of an address that keep their point.
+POINTED = {w for w in STREETS_EN if w.endswith(".")}
 POSSESSIVE = re.compile(r"['’]s?$")
 
 
-def rule_spans(text: str) -> list[tuple[int, int, str]]:
-    out: list[tuple[int, int, str]] = []
-    for kind, rule in RULES:
-        for m in rule.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in out):
-                out.append((m.start(), m.end(), kind))
-    return sorted(out)
-
-
-def name_spans(text: str, names: list[str]) -> list[tuple[int, int, str]]:
+def name_spans(text: str, names: list[str]) -> list[Span]:
     """Where names of the entry stand, without title and possessive; the longest first."""
     cores = {POSSESSIVE.sub("", TITLE.sub("", n.strip())).strip(" ,.") for n in names if n}
     cores = sorted((c for c in cores if len(c) >= 2 and c not in ("I", "Me", "My")), key=lambda c: (-len(c), c))
-    out: list[tuple[int, int, str]] = []
+    out: list[Span] = []
     for core in cores:
         for m in re.finditer(rf"(?<!\w){re.escape(core)}(?!\w)", text):
             if not any(a < m.end() and m.start() < b for a, b, _ in out):
@@ -71,15 +59,15 @@ def name_spans(text: str, names: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
-def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(character ids, character classes)."""
+def encode(text: str) -> np.ndarray:
+    """A number a character: its id and its class in one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ids = np.where(points < 128, points, 128 + points % (CHARS - 128)).astype(np.int64)
-    return ids, _CLASS[np.minimum(points, len(_CLASS) - 1)]
+    ids = np.where(points < 128, points, 128 + points % (CHARS - 128)).astype(np.int32)
+    return ids * CLASSES + _CLASS[np.minimum(points, len(_CLASS) - 1)]
 
 
 def _class_table() -> np.ndarray:
-    out = np.zeros(0x3000, np.int64)
+    out = np.zeros(0x3000, np.int32)
     for i in range(len(out)):
         c = chr(i)
         out[i] = 1 if c.isupper() else 2 if c.islower() else 3 if c.isdigit() else 4 if c == "\n" else 5 if c.isspace() else 6 if c.isalpha() else 7
@@ -87,9 +75,10 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS = _class_table()
+PAD = 10 * CLASSES + 4
 
 
-def tags_of(length: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
+def tags_of(length: int, spans: list[Span]) -> np.ndarray:
     out = np.zeros(length, np.int64)
     for a, b, kind in spans:
         k = 1 + 2 * KINDS.index(kind)
@@ -108,7 +97,6 @@ class Tagger:
     out: np.ndarray
     bias: np.ndarray
     moves: np.ndarray
-    state: dict = field(default_factory=dict, repr=False)
 
     NAMES = ("chars", "classes", "recurrent", "out", "bias", "moves")
 
@@ -120,40 +108,48 @@ class Tagger:
         classes[:, :, h : 2 * h] += 1.0  # forget gates start open
         return cls(*(x.astype(np.float32) for x in (chars, classes, r.normal(0, 1 / np.sqrt(h), (2, h, 4 * h)), r.normal(0, 0.2, (2, h, TAGS)), np.zeros(TAGS), np.zeros((TAGS, TAGS)))))
 
-    def forward(self, ids: np.ndarray, classes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Scores (time, batch, tags) of ids (batch, time); gates in the order in, forget, out, new.
+    def table(self) -> np.ndarray:
+        """Inputs to the gates of both directions for every number of ``encode``, times ``_FACTOR``."""
+        whole = (self.chars[:, :, None, :] + self.classes[:, None, :, :]).reshape(2, CHARS * CLASSES, -1)
+        return whole * _FACTOR
+
+    def forward(self, codes: np.ndarray, keep: bool = False, table: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """Scores (time, batch, tags) of codes (batch, time); gates in the order in, forget, out, new.
 
-        The logistic gates come from one tanh over all gates: s(x) = (tanh(x / 2) + 1) / 2.
+        All gates come from one logistic function s(x) = 1 / (1 + exp(-x)), as tanh(x) = 2 s(2x) - 1.
         """
-        batch, steps = ids.shape
+        batch, steps = codes.shape
         h = HIDDEN
-        order = np.stack([np.arange(steps), np.arange(steps)[::-1]])
+        table = self.table() if table is None else table
+        recurrent = self.recurrent * _FACTOR
+        turned = np.stack([codes.T, codes.T[::-1]])
         hidden, cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
         states, kept = np.empty((2, steps, batch, h), np.float32), []
-        half = np.ones(4 * h, np.float32)
-        half[: 3 * h] = 0.5
         for t in range(steps):
-            i, c = ids[:, order[:, t]].T, classes[:, order[:, t]].T
-            gates = np.matmul(hidden, self.recurrent)
-            gates[0] += self.chars[0, i[0]] + self.classes[0, c[0]]
-            gates[1] += self.chars[1, i[1]] + self.classes[1, c[1]]
-            gates *= half
-            np.tanh(gates, out=gates)
-            gates[:, :, : 3 * h] *= 0.5
-            gates[:, :, : 3 * h] += 0.5
+            gates = np.matmul(hidden, recurrent)
+            gates[0] += table[0].take(turned[0, t], 0)
+            gates[1] += table[1].take(turned[1, t], 0)
+            _logistic(gates)
+            new = gates[:, :, 3 * h :]
+            new *= 2
+            new -= 1
             before = cell
-            cell = gates[:, :, h : 2 * h] * cell + gates[:, :, :h] * gates[:, :, 3 * h :]
-            squashed = np.tanh(cell)
+            cell = gates[:, :, h : 2 * h] * before
+            cell += gates[:, :, :h] * new
+            squashed = cell * np.float32(-2)
+            _logistic(squashed)
+            squashed *= 2
+            squashed -= 1
             if keep:
-                kept.append((i, c, hidden, before, gates, squashed))
+                kept.append((hidden, before, gates, squashed))
             hidden = gates[:, :, 2 * h : 3 * h] * squashed
             states[0, t], states[1, steps - 1 - t] = hidden[0], hidden[1]
         scores = states[0] @ self.out[0] + states[1] @ self.out[1] + self.bias
         return scores, [states, kept]
 
-    def gradients(self, ids: np.ndarray, classes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, codes: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a character of the tag paths, and its gradients."""
-        scores, (states, kept) = self.forward(ids, classes, keep=True)
+        scores, (states, kept) = self.forward(codes, keep=True)
         steps, batch, h = len(scores), scores.shape[1], HIDDEN
         loss, d_scores, d_moves = _crf(scores, self.moves, tags.T)
         scale = np.float32(1 / (steps * batch))
@@ -165,37 +161,76 @@ class Tagger:
             g["out"][d] = states[d].reshape(-1, h).T @ flat
         d_states = np.stack([d_scores @ self.out[0].T, (d_scores @ self.out[1].T)[::-1]])
         d_hidden, d_cell = np.zeros((2, batch, h), np.float32), np.zeros((2, batch, h), np.float32)
-        back = self.recurrent.transpose(0, 2, 1)
+        back = np.ascontiguousarray(self.recurrent.transpose(0, 2, 1))
+        d_all = np.empty((2, steps, batch, 4 * h), np.float32)
+        before_all = np.empty((2, steps, batch, h), np.float32)
         for t in range(steps - 1, -1, -1):
-            i, c, hidden, before, gates, squashed = kept[t]
-            d_hidden = d_hidden + d_states[:, t]
+            hidden, before, gates, squashed = kept[t]
+            d_hidden += d_states[:, t]
             gi, gf, go, gn = (gates[:, :, k * h : (k + 1) * h] for k in range(4))
-            d_cell = d_cell + d_hidden * go * (1 - squashed * squashed)
-            d_gates = np.concatenate([d_cell * gn * gi * (1 - gi), d_cell * before * gf * (1 - gf), d_hidden * squashed * go * (1 - go), d_cell * gi * (1 - gn * gn)], axis=2)
-            g["recurrent"] += np.matmul(hidden.transpose(0, 2, 1), d_gates)
-            for d in (0, 1):
-                _scatter(g["chars"][d], i[d], d_gates[d])
-                _scatter(g["classes"][d], c[d], d_gates[d])
+            d_cell += d_hidden * go * (1 - squashed * squashed)
+            d_gates = d_all[:, t]
+            d_gates[:, :, :h] = d_cell * gn * gi * (1 - gi)
+            d_gates[:, :, h : 2 * h] = d_cell * before * gf * (1 - gf)
+            d_gates[:, :, 2 * h : 3 * h] = d_hidden * squashed * go * (1 - go)
+            d_gates[:, :, 3 * h :] = d_cell * gi * (1 - gn * gn)
+            before_all[:, t] = hidden
             d_hidden = np.matmul(d_gates, back)
             d_cell = d_cell * gf
+        for d in (0, 1):
+            rows = (codes.T if d == 0 else codes.T[::-1]).ravel()
+            moved = d_all[d].reshape(-1, 4 * h)
+            g["recurrent"][d] = before_all[d].reshape(-1, h).T @ moved
+            by_code = _scatter(rows, moved)
+            whole = np.zeros((CHARS * CLASSES, 4 * h), np.float32)
+            whole[by_code[0]] = by_code[1]
+            whole = whole.reshape(CHARS, CLASSES, 4 * h)
+            g["chars"][d], g["classes"][d] = whole.sum(1), whole.sum(0)
         return loss * float(scale), g
 
-    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+
+@dataclass
+class Adam:
+    """Steps done and the moments of the gradients."""
+
+    steps: int
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+
+    @classmethod
+    def fresh(cls, tagger: Tagger) -> Adam:
+        return cls(0, *({m: np.zeros_like(getattr(tagger, m)) for m in Tagger.NAMES} for _ in range(2)))
+
+    def step(self, tagger: Tagger, g: dict[str, np.ndarray], rate: float) -> Adam:
+        """Moves the weights and gives the new moments; gradients are clipped to norm 1."""
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        clip = min(1.0, 1.0 / (norm + 1e-9))
-        t = self.state["t"] = self.state.get("t", 0) + 1
-        for n, x in g.items():
-            x = x * clip
-            m = self.state[n, 1] = 0.9 * self.state.get((n, 1), 0) + 0.1 * x
-            v = self.state[n, 2] = 0.99 * self.state.get((n, 2), 0) + 0.01 * x * x
-            getattr(self, n)[...] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+        clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        t = self.steps + 1
+        first = {m: 0.9 * self.first[m] + 0.1 * clip * x for m, x in g.items()}
+        second = {m: 0.99 * self.second[m] + 0.01 * (clip * x) ** 2 for m, x in g.items()}
+        for m in g:
+            getattr(tagger, m)[...] -= rate * (first[m] / (1 - 0.9**t)) / (np.sqrt(second[m] / (1 - 0.99**t)) + 1e-7)
+        return Adam(t, first, second)
+
+
+#: Factor of the gates' inputs, for ``_logistic`` takes -x, and 2x where a tanh is wanted.
+_FACTOR = np.repeat(np.array([-1.0, -1.0, -1.0, -2.0], np.float32), HIDDEN)
+
 
+def _logistic(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)) in place; a large x gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
-def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows, sums of the values at them)."""
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-    into[sorted_rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    return sorted_rows[starts], np.add.reduceat(values[order], starts, axis=0)
 
 
 def _crf(scores: np.ndarray, moves: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -216,6 +251,7 @@ def _crf(scores: np.ndarray, moves: np.ndarray, tags: np.ndarray) -> tuple[float
             b = beta * unary[t] / norm[t][:, None]
             d_moves += pair * (alpha[t - 1].T @ b)
             beta = b @ pair.T
+    tags = tags.astype(np.int64)
     here = np.take_along_axis(scores, tags[:, :, None], 2).sum()
     log_z = np.log(norm).sum() + top.sum()
     path = moves[tags[:-1], tags[1:]].sum()
@@ -246,44 +282,80 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.nd
     return path
 
 
-def train(texts: list[str], spans: list[list[tuple[int, int, str]]], epochs: int = EPOCHS, seed: int = 5) -> Tagger:
-    """Fit on labelled texts; windows of one length, the last padded with line ends."""
-    r = np.random.default_rng(seed)
-    ids, classes, tags = [], [], []
-    for text, marked in zip(texts, spans, strict=True):
+def _windows(texts: list[str], spans: list[list[Span]], unsure: list[list[tuple[int, int]]], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, tags) of windows of one length, the last of a text padded with line ends."""
+    codes, tags = [], []
+    for text, marked, open_ in zip(texts, spans, unsure, strict=True):
         if not text:
             continue
-        i, c = encode(text)
-        y = tags_of(len(text), marked)
+        c, y = encode(text), tags_of(len(text), marked)
         starts = np.unique(np.linspace(0, max(0, len(text) - LENGTH), max(1, -(-len(text) // (LENGTH - 20)))).astype(int))
+        starts = [s for s in starts if not any(a < s + LENGTH and s < b for a, b in open_)]
         if len(starts) > PER_TEXT:  # windows with spans first, the rest at random
             rich = [s for s in starts if y[s : s + LENGTH].any()]
             poor = [s for s in starts if not y[s : s + LENGTH].any()]
             starts = [*r.permutation(rich)[: PER_TEXT - 1].astype(int), *r.permutation(poor)[:1].astype(int)]
         for s in starts:
             pad = max(0, s + LENGTH - len(text))
-            ids.append(np.pad(i[s : s + LENGTH], (0, pad), constant_values=10))
-            classes.append(np.pad(c[s : s + LENGTH], (0, pad), constant_values=4))
+            codes.append(np.pad(c[s : s + LENGTH], (0, pad), constant_values=PAD))
             tags.append(np.pad(y[s : s + LENGTH], (0, pad)))
+    return (np.stack(codes).astype(np.int16), np.stack(tags).astype(np.int8)) if codes else (np.zeros((0, LENGTH), np.int16), np.zeros((0, LENGTH), np.int8))
+
+
+def train(texts: list[str], spans: list[list[Span]], unsure: list[list[tuple[int, int]]] | None = None, epochs: int | None = None, seed: int = 5, workers: int = WORKERS, each=map) -> Tagger:  # noqa: ANN001
+    """Fit on labelled texts: rounds of steps on ``workers`` parts of the windows, after each of which weights and moments are averaged.
+
+    ``each`` applies a function to a few arguments, in this process or on the cluster. Halfway, windows where the
+    network firmly sees a name without a label leave.
+    """
+    r, epochs = np.random.default_rng(seed), epochs or EPOCHS
+    codes, tags = _windows(texts, spans, unsure or [[] for _ in texts], r)
     tagger = Tagger.fresh()
-    if not ids:
+    if not len(codes):
         return tagger
-    ids, classes, tags = np.stack(ids), np.stack(classes), np.stack(tags)
-    total, done = epochs * -(-len(ids) // BATCH), 0
-    for _ in range(epochs):
-        order = r.permutation(len(ids))
-        for a in range(0, len(order), BATCH):
-            rows = order[a : a + BATCH]
-            _, g = tagger.gradients(ids[rows], classes[rows], tags[rows])
-            tagger.step(g, RATE * min(1.0, 0.1 + done / 40) * (1 - 0.92 * done / total))
-            done += 1
-    tagger.state = {}
+    rounds, kept, state = epochs * ROUNDS, np.arange(len(codes)), Adam.fresh(tagger)
+    for n in range(rounds):
+        if n == rounds // 2 and epochs > 3:
+            kept = kept[~_contradicted(tagger, codes, tags)]
+        if n % ROUNDS == 0:
+            order = r.permutation(kept)
+        share = order[n % ROUNDS :: ROUNDS]
+        work = [(tagger, state, codes[share[w::workers]], tags[share[w::workers]], n / rounds, (n + 1) / rounds) for w in range(workers) if len(share[w::workers])]
+        done = list(each(_round, work))
+        tagger = Tagger(*(np.mean([getattr(t, m) for t, _ in done], 0, dtype=np.float32) for m in Tagger.NAMES))
+        state = Adam(done[0][1].steps, *({m: np.mean([getattr(s, x)[m] for _, s in done], 0, dtype=np.float32) for m in Tagger.NAMES} for x in ("first", "second")))
     return tagger
 
 
+def _round(work: tuple) -> tuple[Tagger, Adam]:
+    """One pass over a part of the windows; ``begun`` and ``ended`` are the share of the training done before and after."""
+    tagger, state, codes, tags, begun, ended = work
+    tagger = Tagger(*(getattr(tagger, m).copy() for m in Tagger.NAMES))
+    steps = range(0, len(codes), BATCH)
+    for a in steps:
+        _, g = tagger.gradients(codes[a : a + BATCH], tags[a : a + BATCH])
+        done = begun + (ended - begun) * a / len(codes)
+        state = state.step(tagger, g, RATE * min(1.0, 0.1 + done * 20) * max(0.04, 1 - 0.96 * done))
+    return tagger, state
+
+
+def _contradicted(tagger: Tagger, codes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which windows have a stretch that the best path calls a name and the labels call nothing, inside the window."""
+    name = 1 + 2 * KINDS.index("person_name")
+    out = np.zeros(len(codes), bool)
+    for a in range(0, len(codes), AT_ONCE):
+        part, y = codes[a : a + AT_ONCE], tags[a : a + AT_ONCE]
+        scores, _ = tagger.forward(part)
+        path = viterbi(scores.transpose(1, 0, 2), tagger.moves, np.full(len(part), LENGTH))
+        seen = (path >= name) & (path <= name + 1) & (y == 0)
+        seen[:, :12] = seen[:, -12:] = False  # cut words at the edges say nothing
+        out[a : a + AT_ONCE] = seen.sum(1) >= 3
+    return out
+
+
 def score_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
     """Scores (characters, tags) of whole texts: overlapping windows, averaged where two meet."""
-    coded, jobs = [encode(t) for t in texts], []
+    coded, jobs, table = [encode(t) for t in texts], [], tagger.table()
     for k, t in enumerate(texts):
         for s in range(0, max(1, len(t) - OVERLAP), WINDOW - OVERLAP):
             jobs.append((k, s, min(WINDOW, len(t) - s)))
@@ -296,10 +368,10 @@ def score_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
         steps = part[0][2]
         if not steps:
             break
-        ids, classes = np.full((len(part), steps), 10, np.int64), np.full((len(part), steps), 4, np.int64)
+        codes = np.full((len(part), steps), PAD, np.int32)
         for row, (k, s, n) in enumerate(part):
-            ids[row, :n], classes[row, :n] = coded[k][0][s : s + n], coded[k][1][s : s + n]
-        scores, _ = tagger.forward(ids, classes)
+            codes[row, :n] = coded[k][s : s + n]
+        scores, _ = tagger.forward(codes, table=table)
         for row, (k, s, n) in enumerate(part):
             w = np.ones(n, np.float32)
             if s:
@@ -311,31 +383,45 @@ def score_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
     return [s / np.maximum(w, 1e-6)[:, None] for s, w in zip(sums, weights, strict=True)]
 
 
-def find_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+def find_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     """The checked spans of each text."""
-    scores = score_texts(tagger, texts)
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    out: list[list[Span]] = []
+    for text, path in zip(texts, best_paths(tagger, score_texts(tagger, texts)), strict=True):
+        out.append(check_spans(text, _raw_spans(path)) if path.any() else [])
+    return out
+
+
+def best_paths(tagger: Tagger, scores: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tag path of each text from its (characters, tags) scores.
+
+    Where the score of no tag beats that of the others by more than two moves can ever return, the best path has no tag
+    there; only the stretches between such places are decoded, which gives the same path.
+    """
+    moves = tagger.moves
+    through = (moves[:, :, None] + moves[None, :, :]).max(1) - (moves[:, :1] + moves[:1, :])  # best by any tag against no tag
+    margin = max(float(through.max()), float((moves - moves[:, :1]).max()), float((moves - moves[:1, :]).max()), 0.0)
+    paths, jobs = [np.zeros(len(s), np.int64) for s in scores], []
+    for k, s in enumerate(scores):
+        open_ = np.concatenate(([False], s[:, 0] - s[:, 1:].max(1, initial=-np.inf) <= margin, [False]))
+        turns = np.flatnonzero(open_[1:] != open_[:-1])
+        # A decided place at either side fixes what the stretch starts from and leads to.
+        jobs += [(k, max(0, a - 1), min(len(s), b + 1)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
+    jobs.sort(key=lambda j: j[1] - j[2])
     at = 0
-    while at < len(order):
-        longest = len(texts[order[at]])
-        size = max(1, min(256, 4_000_000 // max(1, longest * TAGS)))
-        part = order[at : at + size]
-        at += size
-        if not longest:
-            break
-        lengths = np.array([len(texts[k]) for k in part])
+    while at < len(jobs):
+        longest = jobs[at][2] - jobs[at][1]
+        part = jobs[at : at + max(1, min(512, 4_000_000 // (longest * TAGS)))]
+        at += len(part)
+        lengths = np.array([b - a for _, a, b in part])
         padded = np.zeros((len(part), longest, TAGS), np.float32)
-        for row, k in enumerate(part):
-            padded[row, : lengths[row]] = scores[k]
-        for row, path in enumerate(viterbi(padded, tagger.moves, lengths)):
-            k = part[row]
-            if path.any():
-                out[k] = check_spans(texts[k], _raw_spans(path[: lengths[row]]))
-    return out
+        for row, (k, a, b) in enumerate(part):
+            padded[row, : b - a] = scores[k][a:b]
+        for (k, a, b), path in zip(part, viterbi(padded, moves, lengths), strict=True):
+            paths[k][a:b] = path[: b - a]
+    return paths
 
 
-def _raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
+def _raw_spans(path: np.ndarray) -> list[Span]:
     kinds = np.where(path > 0, (path + 1) // 2, 0)
     begins = np.flatnonzero((kinds > 0) & (np.concatenate(([0], kinds[:-1])) != kinds) | (path % 2 == 1))
     out = []
@@ -347,14 +433,10 @@ def _raw_spans(path: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-def check_spans(text: str, raw: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Whole words, trimmed ends, the least content of the kind; a span that overlaps a passage of a known format takes its boundaries and kind."""
-    rules = rule_spans(text)
-    out: list[tuple[int, int, str]] = []
+def check_spans(text: str, raw: list[Span]) -> list[Span]:
+    """Whole words, trimmed ends, and the least content of the kind; kind and place are the network's."""
+    out: list[Span] = []
     for a, b, kind in raw:
-        hits = [(x, y, k) for x, y, k in rules if x < b and a < y]
-        if hits:
-            a, b, kind = max(hits, key=lambda h: (min(h[1], b) - max(h[0], a), h[2] == kind, h[1] - h[0]))
         while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
             a -= 1
         while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
@@ -375,11 +457,18 @@ def check_spans(text: str, raw: list[tuple[int, int, str]]) -> list[tuple[int, i
                 a += 1
             while a < b and text[b - 1] in " \t\r\n,;:":
                 b -= 1
+            if kind in ("street_address", "email", "phone") and text[a:b].endswith(".") and text[a:b].split()[-1] not in POINTED:
+                b -= 1
+            # A bracket that opens or closes outside belongs to the sentence.
+            if a < b and text[b - 1] == ")" and "(" not in text[a:b]:
+                b -= 1
+            if a < b and text[a] == "(" and ")" not in text[a:b]:
+                a += 1
         body = text[a:b]
         digits = sum(c.isdigit() for c in body)
         good = {
-            "email": "@" in body or " dot " in body or "(at)" in body or "[at]" in body or "{at}" in body, "phone": digits >= 7, "id_number": digits >= 6,
-            "street_address": digits >= 1 and (bool(hits) or (len(body.split()) >= 3 and any(c.isupper() for c in body))), "person_name": len(body) >= 2 and body[0].isalpha() and "\n" not in body,
+            "email": bool(re.search(r"@|\bat\b|\bdot\b", body, re.I)), "phone": digits >= 7, "id_number": digits >= 6,
+            "street_address": digits >= 1 and any(c.isalpha() for c in body), "person_name": 2 <= len(body) <= 120 and body[0].isalpha() and "\n" not in body,
         }[kind]
         if good and kind == "person_name" and out and out[-1][2] == kind and out[-1][1] < a and not text[out[-1][1] : a].strip() and "\n" not in text[out[-1][1] : a]:
             out[-1] = (out[-1][0], b, kind)  # given name and surname with only blanks between
@@ -388,35 +477,63 @@ def check_spans(text: str, raw: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out
 
 
-def labelled_sample(entries: DataFrame, names: DataFrame, key: list[str], text: str, limit: int = SAMPLE_TEXTS) -> tuple[list[str], list[list[tuple[int, int, str]]]]:
-    """(texts, spans) of at most ``limit`` entries chosen by a hash of their text, and as many copies with names exchanged.
+def labelled_sample(entries: DataFrame, names: DataFrame, key: list[str], text: str, limit: int = SAMPLE_TEXTS) -> tuple[list[str], list[list[Span]], list[list[tuple[int, int]]]]:
+    """(texts, spans, unsure passages) of at most ``limit`` entries chosen by a hash of their text, and their changed copies.
 
-    ``names(*key, name)`` are the person names extracted from an entry.
+    ``names(*key, name)`` are the person names extracted from an entry. Of a longer text, a stretch of equal share is
+    used, so that what the driver holds is bounded by ``SAMPLE_CHARS`` (training only; reading takes whole texts).
     """
     rows = entries.select(*key, F.col(text).alias("_text")).where("length(_text) >= 10").dropDuplicates(key)
     sample = rows.withColumn("h", F.xxhash64("_text")).orderBy("h", *key).limit(limit)  # top-k, not a sort
+    most = max(LENGTH, SAMPLE_CHARS // max(1, limit))
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("_text") - most)) + 1
+    sample = sample.withColumn("_text", F.when(F.length("_text") > most, F.substring("_text", at.cast("int"), F.lit(most))).otherwise(F.col("_text")))
     listed = sample.join(names.where("name IS NOT NULL"), key, "left").groupBy(*key, "_text", "h").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    pdf = listed.toPandas().sort_values("h")
-    texts, spans = [], []
-    for body, own in zip(pdf["_text"], pdf["names"], strict=True):
-        marked = rule_spans(body)
-        marked += [s for s in name_spans(body, list(own)) if not any(a < s[1] and s[0] < b for a, b, _ in marked)]
+    pdf = listed.toPandas().sort_values(["h", *key])
+    return label_texts(pdf["_text"].tolist(), [list(x) for x in pdf["names"]])
+
+
+def person_names(extracted: DataFrame) -> DataFrame:
+    """(group_id, uuid, name) of ``extracted(group_id, episode_uuid, name, entity_type_id)``: the names that most valid types of the journal call a person's."""
+    typed = extracted.where("name IS NOT NULL AND entity_type_id BETWEEN 1 AND 4")
+    persons = typed.groupBy("group_id", "name").agg(F.avg((F.col("entity_type_id") == 1).cast("int")).alias("share")).where("share >= 0.5")
+    places = extracted.where("name IS NOT NULL").select("group_id", F.col("episode_uuid").alias("uuid"), "name").distinct()
+    return places.join(persons.select("group_id", "name"), ["group_id", "name"], "left_semi").select("group_id", "uuid", "name")
+
+
+def label_texts(bodies: list[str], names: list[list[str]], seed: int = 11, forms: Forms | None = None) -> tuple[list[str], list[list[Span]], list[list[tuple[int, int]]]]:
+    """(texts, spans, unsure passages): the texts as they are, and each once more with names and values exchanged and made passages between its sentences."""
+    texts, spans, unsure = [], [], []
+    for body, own in zip(bodies, names, strict=True):
+        marked, open_ = loose_marks(body)
+        marked += [s for s in name_spans(body, own) if not any(a < s[1] and s[0] < b for a, b, _ in marked)]
         texts.append(body)
         spans.append(sorted(marked))
+        unsure.append(open_)
     pool = [t[a:b] for t, marked in zip(texts, spans, strict=True) for a, b, k in marked if k == "person_name"]
-    r = np.random.default_rng(11)
-    for t, marked in list(zip(texts, spans, strict=True)):
-        if len(t) > 3000 or not any(k == "person_name" for _, _, k in marked):
+    r, forms = np.random.default_rng(seed), forms or Forms(seed)
+    for t, marked, open_ in list(zip(texts, spans, unsure, strict=True)):
+        if open_:
             continue
         new, moved, at = "", [], 0
-        for a, b, k in marked:
+        cuts = [m.end() for m in re.finditer(r"[.!?]\s+(?=\S)|\n+", t) if not any(a < m.end() and m.start() < b for a, b, _ in marked)]
+        chosen = set(r.permutation(cuts)[: 2 + len(t) // 200]) if cuts else {len(t)}
+        for a, b, k in sorted([*marked, *((int(c), int(c), "") for c in chosen)]):
             new += t[at:a]
-            piece = _another(pool, r) if k == "person_name" else t[a:b]
-            moved.append((len(new), len(new) + len(piece), k))
-            new, at = new + piece, b
+            if not k:
+                passage, inside = forms.passage()
+                lead = " " if new and not new[-1].isspace() else ""
+                moved += [(len(new) + len(lead) + x, len(new) + len(lead) + y, kind) for x, y, kind in inside]
+                new += lead + passage + forms.pick([" ", " ", ". ", "\n"])
+            else:
+                piece = (_another(pool, r) if pool else t[a:b]) if k == "person_name" else forms.value(k)
+                moved.append((len(new), len(new) + len(piece), k))
+                new += piece
+            at = b
         texts.append(new + t[at:])
         spans.append(moved)
-    return texts, spans
+        unsure.append([])
+    return texts, spans, unsure
 
 
 def _another(pool: list[str], r: np.random.Generator) -> str:
@@ -427,6 +544,21 @@ def _another(pool: list[str], r: np.random.Generator) -> str:
     return one
 
 
+def fitted(spark: SparkSession, texts: list[str], spans: list[list[Span]], unsure: list[list[tuple[int, int]]]) -> Tagger:
+    """A tagger fitted on the rows, from the shared folder where one fitted on the same rows with the same parameters is there."""
+    settings = (HIDDEN, CHARS, CLASSES, PER_TEXT, LENGTH, BATCH, EPOCHS, RATE, WORKERS, ROUNDS)
+    digest = hashlib.sha256(repr((settings, texts, spans, unsure)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pii-weights/{digest}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        row = spark.read.parquet(path).first()
+        return Tagger(*(np.frombuffer(row[n], np.float32).reshape(getattr(Tagger.fresh(), n).shape).copy() for n in Tagger.NAMES))
+    # At most WORKERS rows: the parts of a round, fitted on the executors.
+    tagger = train(texts, spans, unsure, each=lambda f, work: spark.sparkContext.parallelize(work, len(work)).map(f).collect())
+    spark.createDataFrame([tuple(getattr(tagger, n).astype(np.float32).tobytes() for n in Tagger.NAMES)], ", ".join(f"{n} binary" for n in Tagger.NAMES)).coalesce(1).write.mode("overwrite").parquet(path)
+    return tagger
+
+
 def detect(df: DataFrame, keys: list[str], text: str, tagger: Tagger) -> DataFrame:
     """(*keys, kind, start_pos, end_pos) of each passage; each distinct (keys, text) is read once."""
     shared = df.sparkSession.sparkContext.broadcast(tagger)  # a fixed number of weights
@@ -437,8 +569,8 @@ def detect(df: DataFrame, keys: list[str], text: str, tagger: Tagger) -> DataFra
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for a in range(0, len(frame), 400):
-                part = frame.iloc[a : a + 400]
+            for a in range(0, len(frame), 2000):
+                part = frame.iloc[a : a + 2000]
                 found = find_spans(shared.value, part["_text"].tolist())
                 yield pd.DataFrame([(*key, kind, x, y) for key, spans in zip(part[keys].itertuples(index=False), found, strict=True) for x, y, kind in spans], columns=columns)
 

@@ -11,7 +11,7 @@ from .langid import CONTRADICTION, fit, identify
 from .mix import mixture, shares
 from .names import link_names, variant_pairs
 from .pack import pack_all, sized_table
-from .pii import detect, labelled_sample, redact, train
+from .pii import detect, fitted, labelled_sample, person_names, redact
 from .split import split_texts
 from .tokens import token_count
 
@@ -61,9 +61,8 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """(group_id, uuid, kind, start_pos, end_pos) of each passage with personal information."""
     entries = table(spark, folder, "episodes")
-    names = table(spark, folder, "extracted_entities").where("entity_type_id = 1").select("group_id", F.col("episode_uuid").alias("uuid"), "name")
-    texts, spans = labelled_sample(entries, names, ["group_id", "uuid"], "content")
-    return detect(entries, ["group_id", "uuid"], "content", train(texts, spans)).distinct()
+    tagger = fitted(spark, *labelled_sample(entries, person_names(table(spark, folder, "extracted_entities")), ["group_id", "uuid"], "content"))
+    return detect(entries, ["group_id", "uuid"], "content", tagger).distinct()
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,16 +2,31 @@ import numpy as np
 import pytest
 
 from marginalia.llm import pii as P
+from marginalia.llm.pii_forms import ID_NUMBERS, Forms, loose_marks
+
+HELD = ("899-99-9999", "AA 99 99 99 A", "+1-899-899-9999", "08999 999 999")
 
 
 @pytest.mark.parametrize(("text", "want"), [
     ("mailto:a.b+c@mail.example.com is it", [("email", "a.b+c@mail.example.com")]), ("farid at mail dot example dot com now", [("email", "farid at mail dot example dot com")]), ("meet @ 5.30, bring 2 chairs", []),
     ("ring +49 (0)30 23125112 now", [("phone", "+49 (0)30 23125112")]), ("415 555 0140 ext. 12", [("phone", "415 555 0140 ext. 12")]), ("Order 2093-5517-08 came", []), ("Walked 10 555 steps", []),
-    ("number (910-56-7747)", [("id_number", "910-56-7747")]), ("quote QQ 31 83 35 C in", [("id_number", "QQ 31 83 35 C")]), ("at 91 Kiln Court. Then", [("street_address", "91 Kiln Court")]),
-    ("52 bis, avenue du Vieux Port now", [("street_address", "52 bis, avenue du Vieux Port")]), ("Mühlenstraße 4, 03438 Ostrau", [("street_address", "Mühlenstraße 4, 03438 Ostrau")]), ("P.O. Box 44, Upper Drossen now", [("street_address", "P.O. Box 44, Upper Drossen")]),
+    ("number (123-45-6789)", [("id_number", "123-45-6789")]), ("quote AB 12 34 56 C in", [("id_number", "AB 12 34 56 C")]), ("at 91 Kiln Court. Then", [("street_address", "91 Kiln Court")]), ("call 2124441234 now", [("phone", "2124441234")]),
+    ("52 bis, avenue du Vieux Port now", [("street_address", "52 bis, avenue du Vieux Port")]), ("10 Downing Street, London SW1A 2AA is", [("street_address", "10 Downing Street, London SW1A 2AA")]), ("at 12 Mill Road, Norwick Bay.", [("street_address", "12 Mill Road, Norwick Bay")]),
 ])
-def test_rules(text, want):
-    assert [(k, text[a:b]) for a, b, k in P.rule_spans(text)] == want
+def test_loose_marks(text, want):
+    assert [(k, text[a:b]) for a, b, k in loose_marks(text)[0]] == want
+
+
+def test_bare_numbers_without_a_word_before_stay_open():
+    assert loose_marks("the figure 123456789 again") == ([], [(11, 20)])
+
+
+def test_forms():
+    forms = Forms(3, HELD)
+    for _ in range(300):
+        text, spans = forms.passage()
+        assert all(text[a:b].strip() == text[a:b] != "" for a, b, _ in spans) and "{" not in text.replace("{at}", "").replace("{dot}", "")
+    assert set(HELD[:2]) <= set(ID_NUMBERS) and not set(HELD) & {*forms.phones, *forms.numbers}
 
 
 def test_gradients():
@@ -19,20 +34,31 @@ def test_gradients():
     for n in P.Tagger.NAMES:
         setattr(t, n, getattr(t, n).astype(np.float64))
     r = np.random.default_rng(0)
-    ids, classes, tags = r.integers(0, P.CHARS, (3, 6)), r.integers(0, P.CLASSES, (3, 6)), r.integers(0, P.TAGS, (3, 6))
-    _, g = t.gradients(ids, classes, tags)
+    codes, tags = r.integers(0, P.CHARS * P.CLASSES, (3, 6)), r.integers(0, P.TAGS, (3, 6))
+    _, g = t.gradients(codes, tags)
     for name in P.Tagger.NAMES:
         w = getattr(t, name)
         where = np.unravel_index(np.abs(g[name]).argmax(), w.shape)
         keep, step = w[where], 1e-2
         w[where] = keep + step
-        up, _ = t.gradients(ids, classes, tags)
+        up, _ = t.gradients(codes, tags)
         w[where] = keep - step
-        down, _ = t.gradients(ids, classes, tags)
+        down, _ = t.gradients(codes, tags)
         w[where] = keep
         assert g[name][where] == pytest.approx((up - down) / (2 * step), rel=0.02)
 
 
+def test_stretches_give_the_path_of_the_whole():
+    r = np.random.default_rng(8)
+    tagger = P.Tagger.fresh(2)
+    tagger.moves = r.normal(size=tagger.moves.shape).astype(np.float32)
+    scores = [r.normal(size=(n, P.TAGS)).astype(np.float32) for n in (1, 2, 30, 300, 0)]
+    for s in scores:
+        s[:, 0] += 12 * (r.random(len(s)) < 0.7)  # most places are decided
+    for s, path in zip(scores, P.best_paths(tagger, scores), strict=True):
+        assert not len(s) or (path == P.viterbi(s[None], tagger.moves, np.array([len(s)]))[0]).all()
+
+
 def test_viterbi_against_brute_force():
     import itertools
 
@@ -47,40 +73,47 @@ def test_viterbi_against_brute_force():
 @pytest.fixture(scope="module")
 def trained():
     r = np.random.default_rng(5)
-    names = ["Anna Zinquar", "Bert Korfen", "Clara Ostgar", "David Pelnov", "Emma Rinmir", "Frank Taslem", "Greta Velfen", "Hugo Lemdor"]
-    texts, spans = [], []
-    for _ in range(2500):
-        n, m = r.choice(names), f"{r.choice(list('abcdefg'))}{r.integers(10, 99)}@mail.example.com"
-        a = f"Yesterday I met {n} at the market. "
-        b = f"Write to {m} before Monday."
-        texts.append(a + b)
-        spans.append([(16, 16 + len(n), "person_name"), (len(a) + 9, len(a) + 9 + len(m), "email")])
-    return P.train(texts, spans, epochs=12)
+    given, family = "Anna Bert Clara David Emma Frank Greta Hugo Ines Jonas Lena Oskar".split(), "Zinquar Korfen Ostgar Pelnov Rinmir Taslem Velfen Lemdor Morgen Haldal".split()
+    names = [f"{r.choice(given)} {r.choice(family)}" for _ in range(700)]
+    bodies = [f"{r.choice(['Yesterday I met', 'Before noon I saw', 'I owe an apology to'])} {n} at the market. We walked home slowly. " for n in names]
+    return P.train(*P.label_texts(bodies, [[n] for n in names], forms=Forms(1, HELD)), epochs=8, workers=1)
 
 
 def test_held_out_names(trained):
-    text = "Nothing happened. Yesterday I met Karla Morgen at the market. Write to k88@mail.example.com before Monday. " * 20
+    text = "Nothing happened. Yesterday I met Karla Bergmann at the market. Write to k88@mail.example.com and ask. " * 20
     found = P.find_spans(trained, [text, "", "x"])
     kinds = [text[a:b] for a, b, _ in found[0]]
-    assert kinds.count("k88@mail.example.com") >= 18 and sum("Karla" in k or "Morgen" in k for k in kinds) >= 15
+    assert kinds.count("k88@mail.example.com") >= 16 and sum("Karla" in k or "Bergmann" in k for k in kinds) >= 14
     assert found[1] == []
 
 
+def test_formats_that_were_not_taught(trained):
+    """Most are found, and half of them under their own kind: a small model for a minute of training."""
+    forms, seen, hits, tries = Forms(9), 0, 0, 0
+    for shape, kind, line in ((HELD[0], "id_number", "social security number {}"), (HELD[1], "id_number", "passport {} expires soon"), (HELD[2], "phone", "call me on {}"), (HELD[3], "phone", "Call {} tonight.")):
+        texts = ["We walked home slowly. " + line.format(forms.fill(shape)) + " We walked home slowly." for _ in range(15)]
+        for spans in P.find_spans(trained, texts):
+            a = 23 + line.index("{}")
+            over = [k for x, y, k in spans if x < a + len(shape) and a < y]
+            tries, seen, hits = tries + 1, seen + bool(over), hits + (kind in over)
+    assert seen / tries >= 0.8 and hits / tries >= 0.5, (seen, hits, tries)
+
+
 def test_windows_agree_with_one_pass(trained):
     text = "Yesterday I met Emma Rinmir at the market. " * 5
-    whole, _ = trained.forward(*[x[None] for x in P.encode(text)])
+    whole, _ = trained.forward(P.encode(text)[None])
     assert np.allclose(P.score_texts(trained, [text])[0], whole[:, 0], atol=1e-3)
     assert P.score_texts(trained, [text * 40])[0].shape == (len(text) * 40, P.TAGS)
 
 
 def test_table_and_redaction(spark, trained):
-    body = "Yesterday I met Anna Zinquar at the market. Write to a12@mail.example.com before Monday."
+    body = "Yesterday I met Anna Zinquar at the market. Write to a12@mail.example.com and ask. "
     df = spark.createDataFrame([("g", "1", body, "k"), ("g", "1", body, "k"), ("g", "2", None, "k"), ("g", "3", "", "k")], "group_id string, uuid string, content string, kind string")
     found = {(r.kind, body[r.start_pos : r.end_pos]) for r in P.detect(df, ["group_id", "uuid"], "content", trained).collect()}
     assert ("email", "a12@mail.example.com") in found and any(k == "person_name" and "Zinquar" in t for k, t in found)
     marks = spark.createDataFrame([("g", "1", "person_name", 16, 28), ("g", "1", "email", 53, 73)], "group_id string, uuid string, kind string, start_pos bigint, end_pos bigint")
     out = {r.uuid: r.content for r in P.redact(df, ["group_id", "uuid"], "content", marks).collect()}
-    assert out == {"1": "Yesterday I met [PERSON_NAME] at the market. Write to [EMAIL] before Monday.", "2": None, "3": ""}
+    assert out == {"1": "Yesterday I met [PERSON_NAME] at the market. Write to [EMAIL] and ask. ", "2": None, "3": ""}
     assert P.detect(df.limit(0), ["group_id", "uuid"], "content", trained).count() == 0
 
 
@@ -94,5 +127,20 @@ def test_checks():
 def test_sample_without_entries(spark):
     entries = spark.createDataFrame([], "group_id string, uuid string, content string")
     names = spark.createDataFrame([], "group_id string, uuid string, name string")
-    texts, spans = P.labelled_sample(entries, names, ["group_id", "uuid"], "content")
-    assert texts == [] and spans == [] and P.train(texts, spans).chars.shape[0] == 2
+    texts, spans, unsure = P.labelled_sample(entries, names, ["group_id", "uuid"], "content")
+    assert texts == [] and spans == [] and unsure == [] and P.train(texts, spans).chars.shape[0] == 2
+
+
+def test_weights_are_stored_and_found_again(spark, monkeypatch):
+    rows = (["I met Anna Zinquar there. "] * 4, [[(6, 18, "person_name")]] * 4, [[]] * 4)
+    monkeypatch.setattr(P, "EPOCHS", 1)
+    one = P.fitted(spark, *rows)
+    monkeypatch.setattr(P, "train", None)  # not called again
+    two = P.fitted(spark, *rows)
+    assert all((getattr(one, n) == getattr(two, n)).all() for n in P.Tagger.NAMES)
+
+
+def test_names_of_persons(spark):
+    rows = [("g", "1", "Anna", 1), ("g", "2", "Anna", 1), ("g", "3", "Anna", 2), ("g", "4", "Anna", None), ("g", "1", "Park", 2), ("g", "1", None, 1), ("h", "1", "Anna", 9)]
+    got = P.person_names(spark.createDataFrame(rows, "group_id string, episode_uuid string, name string, entity_type_id int")).collect()
+    assert sorted(tuple(r) for r in got) == [("g", str(i), "Anna") for i in (1, 2, 3, 4)]
