@@ -7,11 +7,12 @@ of one scope are compared.
 
 The comparison is a metric-space partitioned radius join: each scope has pivots, a point lives in the cell of its
 nearest pivot and is copied to every cell whose pivot lies within its nearest distance plus twice the radius
-(triangle inequality), and an exact join with the true Levenshtein metric runs inside each cell. Swapped neighbours,
-two edits in that metric, are found beside it by equality of the swapped text.
+(triangle inequality), and an exact join with the true Levenshtein metric at radius 2 runs inside each cell. Of its pairs
+count those one edit apart, two swapped neighbours (two edits), and two edits in long texts.
 
 Every text is compared twice, as folded and after letters that sound alike are made one, in scopes of their own: a slip
-that makes or breaks a group of such letters (qu, ch, rn) is one edit as typed and several as heard. Texts of several words are also compared word by word: one slip in a word, in long texts in each of two.
+that makes or breaks a group of such letters (qu, ch, rn) is one edit as typed and several as heard. Texts of several words
+are also compared word by word: a slip in one word, in long texts in each of two. Initials between given name and surname are not compared.
 
 Matches of full forms give the base groups; a group of short forms joins the one group of full names that it fits, and
 stays alone where several fit. Defined results: null, blank and one-letter names, the self entity, activities and rooms
@@ -26,22 +27,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Scratch
 from .components import connected_components
 
-#: Levenshtein radius of the join, pivots of a cell, points from which a cell is split again, rounds at most, and the share of
-#: its points that a cell must lose in a round to be split once more.
-RADIUS, PIVOTS, CELL, DEPTH, PROGRESS = 1, 16, 150, 4, 0.7
-#: Texts, and words compared alone, shorter than this must agree exactly; from ``LONG`` letters two words of a text may have a slip.
-TYPO_LENGTH, LONG = 5, 12
+#: Levenshtein radius of the join, pivots of a cell, points from which a cell is split again, the share of its pairs that a
+#: split must save, and points of a block of a cell that pivots cannot split.
+RADIUS, PIVOTS, CELL, SAVED, BLOCK = 2, 16, 150, 0.3, 2000
+#: Texts, and words compared alone, shorter than this must agree exactly; texts from ``LONG`` letters may have two slips, and
+#: one word two slips from ``LONG_WORD`` letters.
+TYPO_LENGTH, LONG, LONG_WORD = 5, 12, 9
 
 # Titles, nicknames, abbreviations, generic rooms and areas; lower case, without accents.
 TITLES = set("dr prof mr mrs ms miss mme mlle frau herr sir dame doctor professor sig sra sr dott fr rev".split())
 NICKNAMES = {
     "alexander": "alex sasha sandy", "andrzej": "andy", "bartholomew": "bart barty", "beatrice": "bea trixie", "benjamin": "ben benny", "bernard": "bernie",
-    "bettina": "tina", "brigitta": "gitta", "carlos": "charlie", "christopher": "chris kit", "daniela": "dani", "desmond": "des", "dmitri": "dima mitya",
+    "bettina": "tina", "brigitta": "gitta", "christopher": "chris kit", "daniela": "dani", "desmond": "des", "dmitri": "dima mitya",
     "donatella": "dona", "dorothea": "thea dora dot", "edmund": "ed eddie ned", "elena": "nell lena", "elizabeth": "liz betty beth lizzie eliza", "esther": "essie", "florian": "flo",
     "frederick": "fred freddie freddy", "gabriel": "gabe", "giulia": "giuli", "gregory": "greg", "gwendolyn": "gwen", "harriet": "hattie", "hildegard": "hilde hilda",
     "ignacio": "nacho", "isabella": "izzy bella", "jacqueline": "jackie", "jerome": "jerry", "jose": "pepe", "josephine": "josie jo", "katherine": "kate kathy katie kat",
@@ -137,18 +139,11 @@ def points(name: str, kind: int) -> list[tuple[str, str, str]]:
     if comma:
         long = [*long[1:], long[0]]
     given, family = long[0][0], long[-1][0]
-    middle = next((w for w, _ in pairs[1:-1] if len(w) == 1), "")
-    if comma:
-        middle = next(iter(single), "")
-    out = []
+    # Initials between are not compared: two of them are one edit apart, and people leave them out.
     full = [GIVEN.get(w, w) for w, _ in long]
-    forward = " ".join(full)
-    out.append((f"F|{middle}", forward, "full"))
-    for m in ([""] if middle else []):
-        out.append((f"F|{m}", forward, "derived"))
-    # Surname first without a comma: the other order as well.
-    if not comma:
-        out.append((f"F|{middle}", " ".join([*full[1:], full[0]]), "turned"))
+    out = [("F", " ".join(full), "full")]
+    if not comma:  # surname first without a comma: the other order as well
+        out.append(("F", " ".join([*full[1:], full[0]]), "turned"))
     for g, f in {(given, family), (family, given)} if not comma else {(given, family)}:
         g_full = GIVEN.get(g, g)
         role = "derived" if (g, f) == (given, family) else "perhaps"
@@ -211,63 +206,93 @@ def name_points(rows: DataFrame) -> DataFrame:
     return names.mapInPandas(read, POINT)
 
 
-def _nearest(points_: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``points_`` with the distances to the pivots of their cell and the numbers of the cells they belong to."""
-    joined = points_.join(pivots, "cell")
-    distances = F.transform("pivots", lambda p: F.levenshtein(F.col("text"), p))
-    joined = joined.withColumn("d", distances).withColumn("least", F.array_min("d"))
+def _split(cells: DataFrame, depth: int, disk: Scratch) -> DataFrame:
+    """``cells(scope, cell, text, home)`` with ``child``, the cells below: a point lives with its nearest pivot and is copied to
+    every pivot within that distance plus twice the radius (triangle inequality)."""
+    # Pivots: of each of PIVOTS hash slots the text first in hash order, aggregated map-side.
+    slot = F.pmod(F.xxhash64("text", F.lit(depth)), F.lit(PIVOTS))
+    firsts = cells.groupBy("cell", slot.alias("slot")).agg(F.min_by("text", F.xxhash64("text")).alias("p"))
+    pivots = firsts.groupBy("cell").agg(F.sort_array(F.collect_list("p")).alias("pivots"))  # PIVOTS entries
+    joined = cells.join(pivots, "cell").withColumn("d", F.transform("pivots", lambda p: F.levenshtein(F.col("text"), p))).withColumn("least", F.array_min("d"))
     home = F.array_position("d", F.col("least")).cast("int") - 1
     near = F.filter(F.transform("d", lambda x, i: F.when(x <= F.col("least") + 2 * RADIUS, i)), lambda i: i.isNotNull())
-    return joined.withColumn("home_no", home).withColumn("no", F.explode(near))
+    joined = joined.withColumn("home_no", home).withColumn("no", F.explode(near))
+    child = F.concat_ws("/", "cell", F.col("no").cast("string")).alias("child")
+    return disk.save(joined.select("scope", "cell", "text", "home", child, (F.col("home") & (F.col("no") == F.col("home_no"))).alias("child_home")))
 
 
 def radius_join(texts: DataFrame, disk: Scratch) -> DataFrame:
-    """(scope, a, b): pairs of different texts of one ``scope`` within ``RADIUS`` Levenshtein edits, each pair once.
+    """(scope, a, b, d): pairs of different texts of one ``scope`` within ``RADIUS`` Levenshtein edits, each pair once.
 
     ``texts(scope, text)`` must be distinct. The first pivot is the empty text: the distance to it is the length, so a
-    point lives in the ring of its length and is copied to the next ones within the radius. Rings above ``CELL`` points
-    are split by pivots of their own, and again as long as that makes them smaller. A pair is compared only where one
-    of the two is at home, and every pair is: the home cell of either holds the other or a copy of it.
+    point lives in the ring of its length and is copied to the next ones within the radius. Cells above ``CELL`` points
+    are split by pivots of their own, again and again while a split saves ``SAVED`` of the pairs to compare; where distances
+    are too alike for that, the cell is cut into blocks of ``BLOCK`` points, each of which meets the whole cell in a task of its
+    own. A pair is compared only where one of the two is at home, and every pair is: the home cell of either holds the
+    other or a copy of it. Before the edit distance, the letters that only one of the two has are counted: an edit changes two at most.
     """
     ring = F.explode(F.sequence(F.length("text"), F.length("text") + RADIUS))
-    cells = texts.select("scope", "text", ring.alias("ring")).select("scope", F.concat_ws("#", "scope", F.col("ring").cast("string")).alias("cell"), "text", (F.col("ring") == F.length("text")).alias("home"), F.lit(None).cast("bigint").alias("before"))
-    done = None
-    for depth in range(DEPTH):
+    cells = texts.select("scope", "text", ring.alias("ring")).select("scope", F.concat_ws("#", "scope", F.col("ring").cast("string")).alias("cell"), "text", (F.col("ring") == F.length("text")).alias("home"))
+    done, depth = None, 0
+    while True:
         cells = disk.save(cells)
-        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("before").alias("was"))
-        splits = (F.col("size") > CELL) & (F.col("was").isNull() | (F.col("size") < PROGRESS * F.col("was")))
-        big = sizes.where(splits) if depth < DEPTH - 1 else sizes.limit(0)
-        small = cells.join(big, "cell", "left_anti").drop("before")
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("home").alias("any"))
+        cells = cells.join(sizes.where(~F.col("any")), "cell", "left_anti")  # copies alone have nothing to meet
+        big = disk.save(sizes.where(F.col("any") & (F.col("size") > CELL)))
+        small = cells.join(big, "cell", "left_anti").select("scope", "cell", "text", "home")
         done = small if done is None else done.unionAll(small)
-        if depth == DEPTH - 1 or big.isEmpty():
+        if big.isEmpty():
             break
-        large = cells.drop("before").join(big.select("cell", F.col("size").alias("before")), "cell")
-        # Pivots: of each of PIVOTS hash slots the text first in hash order, aggregated map-side.
-        slot = F.pmod(F.xxhash64("text", F.lit(depth)), F.lit(PIVOTS))
-        firsts = large.groupBy("cell", slot.alias("slot")).agg(F.min_by("text", F.xxhash64("text")).alias("p"))
-        pivots = firsts.groupBy("cell").agg(F.collect_list("p").alias("pivots"))  # PIVOTS entries
-        split = _nearest(large, pivots)
-        cells = split.select("scope", F.concat_ws("/", "cell", F.col("no").cast("string")).alias("cell"), "text", (F.col("home") & (F.col("no") == F.col("home_no"))).alias("home"), "before")
-    left = done.select("scope", "cell", F.col("text").alias("a"), F.col("home").alias("ha"))
-    right = done.select("cell", F.col("text").alias("b"), F.col("home").alias("hb"))
-    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.col("ha") | F.col("hb")))
-    return met.where(F.levenshtein("a", "b", RADIUS).between(1, RADIUS)).select("scope", "a", "b").distinct()
-
-
-def swapped(texts: DataFrame) -> DataFrame:
-    """(scope, a, b): pairs that differ by a swap of two neighbouring letters, each pair once, by equality of the swapped text."""
-    places = F.sequence(F.lit(1), F.length("text") - 1)
-    turn = lambda i: F.concat(F.substring("text", F.lit(1), i - 1), F.substring("text", i + 1, F.lit(1)), F.substring("text", i, F.lit(1)), F.substring("text", i + 2, F.length("text")))
-    turned = texts.where(F.length("text") > 1).select("scope", F.col("text").alias("a"), F.explode(F.array_distinct(F.transform(places, turn))).alias("b"))
-    return turned.where("a < b").join(texts.select("scope", F.col("text").alias("b")), ["scope", "b"], "left_semi").select("scope", "a", "b")
+        large = cells.join(big.select("cell"), "cell", "left_semi")
+        split = _split(large, depth, disk)
+        pairs = split.groupBy("cell", "child").agg(F.count("*").alias("n"), F.sum(F.col("child_home").cast("bigint")).alias("h")).groupBy("cell").agg(F.sum(F.col("n") * F.col("h")).alias("after"))
+        whole = large.groupBy("cell").agg((F.count("*") * F.sum(F.col("home").cast("bigint"))).alias("before"))
+        worth = disk.save(pairs.join(whole, "cell").where(F.col("after") < (1 - SAVED) * F.col("before")).select("cell"))
+        done = done.unionAll(large.join(worth, "cell", "left_anti").select("scope", "cell", "text", "home"))
+        cells = split.join(worth, "cell", "left_semi").select("scope", F.col("child").alias("cell"), "text", F.col("child_home").alias("home"))
+        depth += 1
+    done = disk.save(done.withColumn("letters", _letters(F.col("text"))))
+    blocks = done.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    done = done.join(blocks, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = done.where("home").select("scope", "cell", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int").alias("block"), F.col("text").alias("x"), F.col("letters").alias("lx"))
+    right = done.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("text").alias("y"), F.col("home").alias("hy"), F.col("letters").alias("ly"))
+    # Two points at home in one cell meet once, a copy meets those at home.
+    met = left.join(right, ["cell", "block"]).where((F.col("x") != F.col("y")) & (~F.col("hy") | (F.col("x") < F.col("y"))))
+    met = met.where(F.bit_count(F.col("lx").bitwiseXOR(F.col("ly"))) <= 2 * RADIUS)
+    near = met.withColumn("d", F.levenshtein("x", "y", RADIUS)).where(F.col("d").between(1, RADIUS))
+    return near.select("scope", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d").distinct()
+
+
+def _letters(text: Column) -> Column:
+    """The set of letters of a text as bits of a number (letters other than a to z share bits)."""
+    codes = F.transform(F.split(text, ""), lambda c: F.pmod(F.ascii(c), F.lit(62)))
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c)))
+
+
+def slip(a: str, b: str, d: str, whole: Column) -> Column:
+    """Whether two texts ``d`` edits apart are slips of each other: one edit, two neighbours swapped, or two edits in a long text.
+
+    A ``whole`` text may have them in two words or in a long word; a word alone must be long for two.
+    """
+    x, y = F.col(a), F.col(b)
+    turned = lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x)))
+    swap = (F.length(x) == F.length(y)) & F.exists(F.sequence(F.lit(1), F.length(x) - 1), lambda i: turned(i) == y)
+    least = F.least(F.length(x), F.length(y))
+    allowed = lambda w, v: F.levenshtein(w, v) <= F.when(F.least(F.length(w), F.length(v)) >= LONG_WORD, 2).otherwise(1)
+    by_word = (F.size(F.split(x, " ")) == F.size(F.split(y, " "))) & F.forall(F.zip_with(F.split(x, " "), F.split(y, " "), allowed), lambda ok: ok)
+    two = F.when(whole, (least >= LONG) & by_word).otherwise(least >= LONG_WORD)
+    return (F.col(d) == 1) | swap | two
 
 
 def one_slip(forms: DataFrame, disk: Scratch) -> DataFrame:
-    """(scope, a, b): pairs of different texts of the distinct ``forms(scope, text, typed)`` one slip apart, as they sound or as typed."""
+    """(scope, a, b): pairs of different texts of the distinct ``forms(scope, text, typed)`` that are slips of each other, as they sound or as typed.
+
+    Scopes begin with x for whole texts and w for words.
+    """
     long = lambda way, c: forms.where(F.length(c) >= TYPO_LENGTH).select(F.concat(F.lit(way), "scope").alias("scope"), F.col(c).alias("text")).distinct()
     both = disk.save(long("h", "text").unionAll(long("t", "typed")))  # as heard, as typed: scopes of their own
-    near = radius_join(both, disk).unionAll(swapped(both)).select(F.substring("scope", 1, 1).alias("way"), F.expr("substring(scope, 2)").alias("scope"), "a", "b")
-    near = disk.save(near.distinct())
+    near = radius_join(both, disk).where(slip("a", "b", "d", F.substring("scope", 2, 1) == "x")).select(F.substring("scope", 1, 1).alias("way"), F.expr("substring(scope, 2)").alias("scope"), "a", "b")
+    near = disk.save(near)
     heard = lambda c: forms.select("scope", F.col("typed").alias(c), F.col("text").alias(f"{c}_text"))
     typed = near.where("way = 't'").join(heard("a"), ["scope", "a"]).join(heard("b"), ["scope", "b"]).where("a_text <> b_text")
     typed = typed.select("scope", F.least("a_text", "b_text").alias("a"), F.greatest("a_text", "b_text").alias("b"))
@@ -328,12 +353,10 @@ def link_names(rows: DataFrame) -> DataFrame:
     base = connected_components(base_links, "group_id", "x", "y").where("id LIKE 'n:%'").select("group_id", F.expr("substring(id, 3)").alias("name"), F.col("root_id").alias("base"))
     base = disk.save(base)
 
-    # A full name without a middle initial joins the one initial it goes with; then short groups join the one full group they fit.
-    role = pts.groupBy("group_id", "name").agg(F.max(F.when(F.col("scope").rlike(r"\|(F\|[^|]*|T)$") & (F.col("role") == "full"), 1).otherwise(0)).alias("full"))
+    # Short groups join the one full group they fit.
+    role = pts.groupBy("group_id", "name").agg(F.max(F.when(F.col("scope").rlike(r"\|[FT]$") & (F.col("role") == "full"), 1).otherwise(0)).alias("full"))
     pairs = disk.save(pairs)
-    plain = disk.save(_resolve(pts, base, role, pairs, "role = 'full' AND scope LIKE '%|F|'", "role = 'derived' AND scope LIKE '%|F|'"))
-    base = disk.save(base.join(plain, ["group_id", "base"], "left").select("group_id", "name", F.coalesce("target", "base").alias("base")))
-    short = disk.save(_resolve(pts, base, role, pairs, "role = 'short'", "role IN ('derived', 'perhaps') AND NOT scope LIKE '%|F|'"))
+    short = disk.save(_resolve(pts, base, role, pairs, "role = 'short'", "role IN ('derived', 'perhaps')"))
     # A short form of a short form (leading words of leading words): one more step.
     step = short.select("group_id", F.col("base").alias("target"), F.col("target").alias("further"))
     short = short.join(step, ["group_id", "target"], "left").select("group_id", "base", F.coalesce("further", "target").alias("target"))

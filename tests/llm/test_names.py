@@ -37,21 +37,37 @@ def test_empty(spark):
     assert N.variant_pairs(N.link_names(frame(spark).limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("cell", [10, 10_000])
-def test_radius_join_is_complete(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "block"), [(10, 2000), (10_000, 2000), (30, 20)])
+def test_radius_join_is_complete(spark, monkeypatch, cell, block):
     monkeypatch.setattr(N, "CELL", cell)
+    monkeypatch.setattr(N, "BLOCK", block)
     monkeypatch.setattr(N, "PIVOTS", 6)
     r = random.Random(1)
-    words = {"".join(r.choice("abc") for _ in range(r.randint(3, 8))) for _ in range(250)}
+    words = {"".join(r.choice("abc") for _ in range(r.randint(3, 8))) for _ in range(150)} | {"".join(r.choice("abcdefghijkl") for _ in range(r.randint(20, 26))) for _ in range(60)}
+    words |= {w[:4] + r.choice("xyz") + w[5:-1] for w in list(words) if len(w) > 15}  # two edits
     df = spark.createDataFrame([("s", w) for w in words] + [("t", w) for w in list(words)[:20]], "scope string, text string")
-    got = {(x.scope, x.a, x.b) for x in N.radius_join(df, Scratch(spark, "test")).collect()}
-    pairs = df.alias("p").join(df.alias("q"), F.expr("p.scope = q.scope AND p.text < q.text AND levenshtein(p.text, q.text) <= 1"))
-    assert got == {(x[0], x[1], x[2]) for x in pairs.selectExpr("p.scope", "p.text", "q.text").collect()}
-
-
-def test_swapped(spark):
-    df = spark.createDataFrame([("s", w) for w in ("abcde", "abdce", "badce", "abxde", "aab", "aba", "z")] + [("t", "bacde")], "scope string, text string")
-    assert {(x.a, x.b) for x in N.swapped(df).collect()} == {("abcde", "abdce"), ("abdce", "badce"), ("aab", "aba")}
+    rows = N.radius_join(df, Scratch(spark, "test")).collect()
+    pairs = df.alias("p").join(df.alias("q"), F.expr("p.scope = q.scope AND p.text < q.text AND levenshtein(p.text, q.text) <= 2"))
+    want = {tuple(x) for x in pairs.selectExpr("p.scope", "p.text", "q.text", "levenshtein(p.text, q.text)").collect()}
+    assert {tuple(x) for x in rows} == want and len(rows) == len(want)
+
+
+def test_slips(spark):
+    yes = [("abcde", "abxde"), ("abcde", "abdce"), ("abcde", "bacde"), ("gregory jasigvenor", "gregori jasigvenar"), ("cordelia bartholomew", "cordelia barthalamew")]
+    no = [("abcde", "axcye"), ("abcdefgh", "axcyefgh"), ("maria kelmunda", "marta felmunda"), ("anna kelmir lane", "anna kolmar lane")]
+    pairs = [(x, y, True) for x, y in yes] + [(x, y, False) for x, y in no]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean").withColumn("d", F.levenshtein("a", "b"))
+    whole = {(r.a, r.b): r.got for r in df.select("*", N.slip("a", "b", "d", F.lit(True)).alias("got")).collect()}
+    assert [whole[x] for x in yes] == [True] * 5 and whole[no[0]] is whole[no[1]] is whole[no[3]] is False
+    assert whole[no[2]] is True  # one slip in each of two words of a long text
+    words = [r.got for r in df.where("a NOT LIKE '% %'").select(N.slip("a", "b", "d", F.lit(False)).alias("got")).collect()]
+    assert words == [True, True, True, False, False]
+
+
+@pytest.mark.parametrize("spellings", [("Quentin Jasgarfen", "Quentin G. Jasgarfen", "Quentin K. Jasgarfen"), ("Bartholomew Kel", "Barthalamew Kel"), ("Saint Winifred's Observatory", "Saint Winifred's Obsarvatery")])
+def test_initials_and_two_slips_in_a_long_word(spark, spellings):
+    rows = spark.createDataFrame([("g", n, 2 if "Saint" in n else 1) for n in spellings], "group_id string, name string, entity_type_id int")
+    assert {tuple(r[1:]) for r in N.variant_pairs(N.link_names(rows)).collect()} == {(a, b) for a in spellings for b in spellings if a < b}
 
 
 @pytest.mark.parametrize("spellings", [("ZULEIKA KORTORQUAR", "Zuleika Kortorqar"), ("ULRICH DRAHUD", "Ulrixh Drahud"), ("Heron Station", "Heorn Station"), ("Westering Bookshop", "Westernig Bookshop")])
