@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -38,12 +41,19 @@ def attribute_match(expected: Column, predicted: Column) -> Column:
     return F.when(F.size(keys) == 0, 1.0).otherwise(hits / F.size(keys))
 
 
-def fact_issues(fact: Column, about_self: Column) -> Column:
-    """What is wrong with a fact: empty, third person for the author, no first person though the author is meant, analysis instead of a fact."""
-    first = fact.rlike(r"(?iU)\b(?:i|me|my|mine|myself)\b")
+def fact_issues(fact: Column, source: Column, target: Column, has_self: Column) -> Column:
+    """What is wrong with the fact of a relation: empty (then nothing else), the author in the third person or without the first
+    person where the author is an end, analysis instead of a fact. ``has_self``: the author is among the names of the entry."""
+    # The phrases that count.
+    person, first, analysis = "the narrator", [" i ", " my ", " me "], ["indicating a", "suggesting that"]
+    text = F.coalesce(F.trim(fact), F.lit(""))
+    lower = F.lower(text)
+    any_of = lambda phrases: reduce(or_, [F.contains(lower, F.lit(x)) for x in phrases])
+    involved = has_self & ((F.lower(F.coalesce(source, F.lit(""))) == "i") | (F.lower(F.coalesce(target, F.lit(""))) == "i"))
+    third = F.contains(lower, F.lit(person))
     tests = [
-        (F.coalesce(F.trim(fact), F.lit("")) == "", "empty"), (fact.rlike(r"(?iU)\bthe (?:author|writer|narrator|user)\b"), "third person"),
-        (about_self & ~first, "no first person"), (fact.rlike(r"(?iU)\b(?:suggests|implies|indicates|appears to|seems to)\b"), "analysis"),
+        (text == "", "empty"), ((text != "") & involved & third, "third person"), ((text != "") & involved & ~third & ~any_of(first) & ~text.startswith("I "), "no first person"),
+        (any_of(analysis), "analysis"),
     ]
     return F.filter(F.array(*[F.when(t, F.lit(name)) for t, name in tests]), lambda x: x.isNotNull())
 

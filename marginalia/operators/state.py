@@ -92,19 +92,44 @@ def display(model_state: Column, pending_count: Column, active: Column) -> Colum
     return F.struct(busy.alias("busy"), waiting.alias("waiting"), poll.alias("poll_seconds"))
 
 
-# Transitions of the side panel, (state, event, state after); anything else leaves the state as it is.
-PANEL = [
-    ("hidden", "show_pending", "processing_nodes"), ("hidden", "show_cached", "ready"), ("hidden", "show_empty", "empty_idle"), ("hidden", "show_waiting", "awaiting_processing"),
-    ("awaiting_processing", "status_pending_nodes", "processing_nodes"), ("awaiting_processing", "cache_entities", "ready"), ("awaiting_processing", "cache_empty", "empty_idle"),
-    ("processing_nodes", "status_pending_edges", "processing_edges"), ("processing_nodes", "status_done", "ready"), ("processing_nodes", "cache_entities", "ready"), ("processing_nodes", "cache_empty", "empty_idle"),
-    ("processing_edges", "status_done", "ready"), ("ready", "user_deleted_last", "empty_idle"), ("ready", "episode_edited", "awaiting_processing"), ("empty_idle", "episode_edited", "awaiting_processing"),
-    ("empty_idle", "cache_entities", "ready"), *[(s, "hide", "hidden") for s in ("awaiting_processing", "processing_nodes", "processing_edges", "ready", "empty_idle")],
+# States and events of the side panel.
+PANEL_STATES = ["hidden", "disabled", "processing_nodes", "awaiting_edges", "ready_entities", "empty_idle"]
+PANEL_EVENTS = [
+    "show", "hide", "episode_closed", "inference_disabled", "inference_enabled", "status_pending_nodes", "status_pending_edges_or_done", "cache_entities_found", "cache_empty", "user_deleted_entity",
 ]
 
 
+def _panel_step(acc: Column, x: Column) -> Column:
+    """The panel after an event: (state, status, enabled, present). An event that its state does not allow changes nothing."""
+    now, event = acc["state"], x["event"]
+    status, enabled, present = (F.coalesce(x[c], acc[c]) for c in ("status", "enabled", "present"))
+    ready = (status.isNull() | (status == "done")) & present
+    opened = F.when(status == "pending_nodes", "processing_nodes").when(status == "pending_edges", "awaiting_edges").when(ready, "ready_entities").otherwise("empty_idle")
+    shown, working = now != "hidden", ~now.isin("disabled")
+    after = (
+        F.when(event == "show", F.when(shown, now).when(~enabled, "disabled").otherwise(opened))
+        .when(event.isin("hide", "episode_closed"), F.when(shown, F.lit("hidden")))
+        .when(event == "inference_disabled", F.when(working, F.lit("disabled")))
+        .when(event == "inference_enabled", F.when(~working, opened))
+        .when(event == "status_pending_nodes", F.when(working, F.lit("processing_nodes")))
+        .when(event == "status_pending_edges_or_done", F.when(now == "processing_nodes", F.when(status == "pending_edges", "awaiting_edges").when(ready, "ready_entities").otherwise("empty_idle")).when(now == "awaiting_edges", F.when(ready, "ready_entities").otherwise("empty_idle")).when(working, now))
+        .when(event == "cache_entities_found", F.when(working, F.lit("ready_entities")))
+        .when(event == "cache_empty", F.when(working, F.lit("empty_idle")))
+        .when(event == "user_deleted_entity", F.when((now == "ready_entities") & ~present, F.lit("empty_idle")).when(now.isin("ready_entities", "empty_idle"), now))
+    )
+    allowed = after.isNotNull()
+    keeps = event.isin("hide", "episode_closed", "inference_disabled")
+    status = F.when(~allowed | keeps, acc["status"]).when(event == "status_pending_nodes", F.lit("pending_nodes")).when((event == "user_deleted_entity") & x["status"].isNull() & (x["present"] == F.lit(False)), F.lit(None)).otherwise(status)
+    enabled = F.when(~allowed, acc["enabled"]).when(event == "inference_disabled", F.lit(False)).when(event == "inference_enabled", F.lit(True)).when(event == "show", enabled).otherwise(acc["enabled"])
+    present = F.when(~allowed | keeps, acc["present"]).when(event == "cache_entities_found", F.lit(True)).when(event == "cache_empty", F.lit(False)).otherwise(present)
+    return F.struct(F.coalesce(after, now).alias("state"), status.cast("string").alias("status"), enabled.alias("enabled"), present.alias("present"))
+
+
 def panel_states(events: DataFrame) -> DataFrame:
-    """(key, state): the side panel's state after the events of each key in order, by a fold over the transition table."""
-    table = F.create_map(*[F.lit(x) for s, e, t in PANEL for x in (f"{s}|{e}", t)])
-    listed = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "event"))).alias("l"))  # events of one screen
-    step = lambda s, x: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("|"), x["event"])), s)
-    return listed.select("key", F.aggregate("l", F.lit("hidden"), step).alias("state"))
+    """(key, state, status): the side panel after the ``events(key, seq, event, status, enabled, present)`` of each key in order.
+
+    A null status, enabled or present says that the event does not carry it. A panel begins hidden, enabled, without status and entities.
+    """
+    listed = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "event", "status", "enabled", "present"))).alias("l"))  # events of one screen
+    begin = F.struct(F.lit("hidden").alias("state"), F.lit(None).cast("string").alias("status"), F.lit(True).alias("enabled"), F.lit(False).alias("present"))
+    return listed.select("key", F.aggregate("l", begin, _panel_step).alias("x")).select("key", "x.state", "x.status")

@@ -181,10 +181,23 @@ def display_states(spark, folder):  # noqa: ANN001, ANN201
 
 
 def panel_states(spark, folder):  # noqa: ANN001, ANN201
-    """M24"""
-    names = ["show_pending", "cache_entities", "episode_edited", "status_done", "hide"]
-    ev = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 5 + 1).cast("int"))
-    return state.panel_states(table(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), ev.alias("event")))
+    """Each user's events as those of a screen"""
+    e, of = table(spark, folder, "events"), lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(c, F.lit(len(values))) + 1).cast("int"))
+    n = F.col("event_id")
+    rows = e.select(
+        F.col("user_id").alias("key"), n.alias("seq"), of(state.PANEL_EVENTS, F.xxhash64(n)).alias("event"), of(["pending_nodes", "pending_edges", "done", None], F.floor(n / 10)).alias("status"),
+        of([True, None, False], F.floor(n / 40)).alias("enabled"), of([True, False, None], F.floor(n / 120)).alias("present"),
+    )
+    return state.panel_states(rows)
+
+
+def fact_quality(spark, folder):  # noqa: ANN001, ANN201
+    """Facts made round the extracted names by place in the entry"""
+    n = _names(spark, folder)
+    facts = F.array(*[F.lit(x) for x in ("I met {}", "the narrator knows {}", "{} lives here, indicating a move", " ", "we saw {} and gave my book back", "Suggesting that {} left")])
+    fact = F.replace(F.get(facts, F.pmod("pos", F.lit(6)).cast("int")), F.lit("{}"), F.col("name"))
+    target = F.when(F.pmod("pos", F.lit(2)) == 0, "I").otherwise("Anna")
+    return n.select("group_id", "episode_uuid", "pos", "name", F.array_join(metrics.fact_issues(fact, F.col("name"), target, F.pmod("pos", F.lit(5)) > 0), ",").alias("issues"))
 
 
 def entity_f1(spark, folder):  # noqa: ANN001, ANN201
@@ -270,7 +283,7 @@ def import_idempotent(spark, folder):  # noqa: ANN001, ANN201
 
 QUERIES = {f.__name__: f for f in (
     suppress_filter, suppressed_flags, suppressed_names, name_cleanup, batch_dedupe, candidate_contains, exact_resolve, similar_resolve, resolved_names, extract_pipeline_counters, pointer_remap, edge_build, edge_merge, edge_rules,
-    all_pairs_edges, retry_dead, status_counts, pending_queue, queue_pop, task_queue, orphan_state, display_states, panel_states, entity_f1, relation_f1, attribute_match, document_texts, fulltext_query, token_search,
+    all_pairs_edges, retry_dead, status_counts, pending_queue, queue_pop, task_queue, orphan_state, display_states, panel_states, fact_quality, entity_f1, relation_f1, attribute_match, document_texts, fulltext_query, token_search,
     cosine_topk, uuid5_ids, dayone_clean, xml_posts, import_idempotent,
 )}
 
@@ -334,6 +347,11 @@ SELECT group_id, relation, count(*) AS n FROM al GROUP BY ALL""",
     "queue_pop": "SELECT group_id, seq, entity_uuid FROM (SELECT o_orderpriority AS group_id, o_orderkey AS seq, o_custkey AS entity_uuid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 25",
     "task_queue": "SELECT o_orderpriority AS group_id, o_custkey AS episode_uuid, max(o_orderkey % 2) AS priority, arg_max(o_orderkey, (o_orderkey % 2, -o_orderkey)) AS seq FROM orders GROUP BY ALL",
     "orphan_state": "SELECT DISTINCT group_id, episode_uuid FROM extract_results r WHERE episode_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM episodes e WHERE e.group_id = r.group_id AND e.uuid = r.episode_uuid AND source = 'text')",
+    "fact_quality": _NAMES + r""", f AS (SELECT group_id, episode_uuid, pos, name, trim(replace(['I met {}', 'the narrator knows {}', '{} lives here, indicating a move', ' ', 'we saw {} and gave my book back', 'Suggesting that {} left'][pos % 6 + 1], '{}', name), ' ') AS t,
+  pos % 5 > 0 AND (lower(name) = 'i' OR pos % 2 = 0) AS mine FROM names),
+g AS (SELECT *, contains(lower(t), 'the narrator') AS third, contains(lower(t), ' i ') OR contains(lower(t), ' my ') OR contains(lower(t), ' me ') OR starts_with(t, 'I ') AS first FROM f)
+SELECT group_id, episode_uuid, pos, name, CASE WHEN t = '' THEN 'empty' ELSE concat_ws(',', CASE WHEN mine AND third THEN 'third person' END, CASE WHEN mine AND NOT third AND NOT first THEN 'no first person' END,
+  CASE WHEN contains(lower(t), 'indicating a') OR contains(lower(t), 'suggesting that') THEN 'analysis' END) END AS issues FROM g""",
     "display_states": "SELECT event_id, event_id % 4 > 0 AS busy, event_id % 4 = 0 AND event_id % 3 > 0 AS waiting, CASE WHEN event_id % 4 > 0 THEN 0.3 WHEN event_id % 3 > 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS poll_seconds FROM events",
     "entity_f1": _NAMES + f""", g AS (SELECT DISTINCT episode_uuid, lower(name) || '|' || coalesce(entity_type_id, -1) AS item FROM names), p AS (SELECT DISTINCT episode_uuid, lower({_STRIP % 'name'}) || '|' || coalesce(entity_type_id, -1) AS item FROM names WHERE pos > 0),
 j AS (SELECT coalesce(g.episode_uuid, p.episode_uuid) AS episode_uuid, g.item AS gi, p.item AS pi FROM g FULL JOIN p ON g.episode_uuid = p.episode_uuid AND g.item = p.item),

@@ -21,8 +21,12 @@ from ..functions.text import content_error, hyphenate_uuid, name_uuid, strip, un
 DAYONE = T.StructType([T.StructField("entries", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("uuid", "text", "creationDate", "timeZone")])))])
 #: strptime codes and their counterparts.
 DATE_CODES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%B": "MMMM", "%b": "MMM", "%y": "yy", "%j": "DDD", "%p": "a", "%I": "hh", "%A": "EEEE", "%a": "EEE"}
-_CONTROL = re.compile(r"\\([a-z]{1,32})(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.S)
-_HIDDEN_GROUPS = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "themedata", "generator", "listtable", "listoverridetable", "datastore"}
+# Fixed values of the rich-text format: destinations that show nothing, and control words that stand for a character.
+UNSHOWN = set("fonttbl colortbl stylesheet info pict header footer headerl headerr footerl footerr footnote themedata colorschememapping datastore listtable listoverridetable rsidtbl generator xmlnstbl fldinst object filetbl".split())
+SIGNS = {
+    "par": "\n", "line": "\n", "sect": "\n", "page": "\n", "row": "\n", "tab": "\t", "cell": "\t", "emdash": "\u2014", "endash": "\u2013", "lquote": "\u2018", "rquote": "\u2019", "ldblquote": "\u201c", "rdblquote": "\u201d",
+    "bullet": "\u2022", "emspace": "\u2003", "enspace": "\u2002", "~": "\u00a0", "_": "\u2011", "-": "", "{": "{", "}": "}", "\\": "\\", "\n": "\n", "\r": "\n",
+}
 
 
 def list_files(directory: str, extensions: list[str], recursive: bool = True) -> list[str]:
@@ -33,32 +37,86 @@ def list_files(directory: str, extensions: list[str], recursive: bool = True) ->
     return sorted(str(p) for p in visible if p.is_file() and not p.is_symlink() and p.suffix.lower() in wanted)
 
 
+class _Rtf:
+    """A reader of rich text, after the format's description: groups nest and inherit whether they are shown and how many
+    characters stand in for a Unicode one."""
+
+    def __init__(self, data: str) -> None:
+        self.data, self.at, self.out = data, 0, []
+        self.shown, self.fallback, self.page, self.groups, self.owed = True, 1, "cp1252", [], 0
+
+    def text(self) -> str:
+        while self.at < len(self.data):
+            c = self.data[self.at]
+            self.at += 1
+            if c == "{":
+                self.groups.append((self.shown, self.fallback))
+                self.owed = 0
+            elif c == "}":
+                self.shown, self.fallback = self.groups.pop() if self.groups else (True, 1)
+                self.owed = 0
+            elif c == "\\":
+                self.control()
+            elif c not in "\r\n":
+                self.show(c)
+        return "".join(self.out)
+
+    def show(self, piece: str) -> None:
+        if self.owed:
+            self.owed -= 1
+        elif self.shown:
+            self.out.append(piece)
+
+    def control(self) -> None:
+        start = self.at
+        while self.at < len(self.data) and "a" <= self.data[self.at] <= "z":
+            self.at += 1
+        word = self.data[start : self.at]
+        if not word:
+            self.symbol()
+            return
+        start = self.at
+        if self.data[start : start + 1] == "-":
+            self.at += 1
+        while self.at < len(self.data) and self.data[self.at].isdecimal():
+            self.at += 1
+        digits = self.data[start : self.at]
+        number = int(digits) if digits not in ("", "-") else None
+        if self.data[self.at : self.at + 1] == " ":
+            self.at += 1
+        if word == "bin":
+            self.at += max(0, number or 0)
+        elif word == "uc" and number is not None:
+            self.fallback = max(0, number)
+        elif word == "ansicpg" and number:
+            self.page = f"cp{number}"
+        elif word == "u" and number is not None:
+            self.show(chr(number % 65536))
+            self.owed = self.fallback
+        elif word in UNSHOWN:
+            self.shown = False
+        elif word in SIGNS:
+            self.show(SIGNS[word])
+
+    def symbol(self) -> None:
+        sign = self.data[self.at : self.at + 1]
+        self.at += 1
+        if sign == "'":
+            code = self.data[self.at : self.at + 2]
+            self.at += 2
+            try:
+                self.show(bytes.fromhex(code).decode(self.page, "replace"))
+            except (ValueError, LookupError):
+                self.show("\ufffd")
+        elif sign == "*":  # what a reader need not know
+            self.shown = False
+        elif sign in SIGNS:
+            self.show(SIGNS[sign])
+
+
 def rtf_text(data: str) -> str:
-    """The plain text of a rich-text file: groups that show nothing are skipped, paragraphs and tabs kept, escapes decoded."""
-    out, hide, stack, skip = [], False, [], 0
-    for m in _CONTROL.finditer(data):
-        word, number, code, symbol, brace, plain = m.groups()
-        if brace == "{":
-            stack.append(hide)
-        elif brace == "}":
-            hide = stack.pop() if stack else False
-        elif symbol == "*" or word in _HIDDEN_GROUPS:
-            hide = True
-        elif hide:
-            continue
-        elif word in ("par", "line", "sect", "page"):
-            out.append("\n")
-        elif word == "tab":
-            out.append("\t")
-        elif word == "u" and number:
-            out.append(chr(int(number) % 65536))
-            skip = 1
-        elif code or symbol or plain:
-            if skip and (plain == "?" or code):
-                skip = 0
-                continue
-            out.append(bytes.fromhex(code).decode("cp1252", "replace") if code else "\u00a0" if symbol == "~" else symbol or plain)
-    return "".join(out)
+    """The plain text of a rich-text file; a broken file gives what can be read."""
+    return _Rtf(data).text()
 
 
 def _decode(path: pd.Series, content: pd.Series) -> pd.DataFrame:
@@ -85,7 +143,7 @@ def java_pattern(code: str) -> str:
     return "".join(out) + "".join(f"'{c}'" if c.isalpha() else c for c in code[at:])
 
 
-def read_files(spark: SparkSession, directory: str, extensions: list[str] = (".txt", ".md", ".rtf"), date_format: str | None = None, zone: str = "UTC", recursive: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, directory: str, extensions: list[str] = (".txt", ".text", ".md", ".markdown", ".rtf"), date_format: str | None = None, zone: str = "UTC", recursive: bool = True) -> DataFrame:
     """Text and rich-text files: date from the file name if ``date_format`` fits, else the time the file was changed (with a warning)."""
     paths = list_files(directory, list(extensions), recursive)
     empty = "content string, entry_time timestamp, uuid string, error string, warning string, path string"
@@ -132,10 +190,21 @@ def sanitize_xml(text: Column) -> Column:
 
 
 def unescape_xml(text: Column) -> Column:
-    """The five named entities as characters, the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Numeric references and the five named entities as characters, in one pass from left to right, so that nothing is decoded twice."""
+    # The named entities.
+    named = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#[0-9]{1,7};|&#x[0-9a-fA-F]{1,6};|&(?:lt|gt|quot|apos|amp);|[^&]+|&"), F.lit(0))
+
+    def plain(piece: Column) -> Column:
+        code = F.when(piece.rlike("^&#[0-9]+;$"), F.regexp_extract(piece, "([0-9]+)", 1).cast("int")).when(piece.rlike("^&#x[0-9a-fA-F]+;$"), F.conv(F.regexp_extract(piece, "x([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        bytes_ = F.unhex(F.lpad(F.hex(code), 8, "0"))
+        out = F.when(valid, F.decode(bytes_, "UTF-32"))
+        for name, char in named.items():
+            out = F.coalesce(out, F.when(piece == f"&{name};", F.lit(char)))
+        return F.coalesce(out, piece)
+
+    return F.array_join(F.transform(pieces, plain), "")
 
 
 def posts_of(texts: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -166,8 +235,14 @@ def load_entries(existing: DataFrame, incoming: DataFrame, group: str, dry_run:
 
     Rows of ``incoming(content, entry_time, uuid)`` whose uuid the journal has are skipped; of copies inside one batch
     the first is imported and the rest skipped, while a dry run counts them all as imported. Refused: empty, NUL, too long.
+    Rows without a uuid get one.
     """
     rows = incoming.withColumn("problem", content_error(F.col("content"))).withColumn("group_id", F.lit(group))
+    # Rows without a uuid get one made of journal, text, time and the number among equal rows: the same when loaded again.
+    number = F.row_number().over(Window.partitionBy("content", "entry_time").orderBy(F.lit(1)))
+    made = name_uuid(F.concat_ws("|", F.lit("entry"), F.lit(group), F.coalesce(F.col("entry_time").cast("string"), F.lit("")), F.col("_n").cast("string"), F.coalesce("content", F.lit(""))))
+    bare = rows.where("uuid IS NULL").withColumn("_n", number).withColumn("uuid", made).drop("_n")
+    rows = rows.where("uuid IS NOT NULL").unionByName(bare)
     have = existing.where(F.col("group_id") == group).select("uuid").distinct().withColumn("_have", F.lit(True))
     copy = F.row_number().over(Window.partitionBy("uuid").orderBy("entry_time", "content"))
     marked = rows.join(have, "uuid", "left").withColumn("_copy", F.lit(1) if dry_run else copy)

@@ -45,31 +45,42 @@ def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkp
 
 
 def keep_latest(store: SnapshotStore, name: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges the latest state of each entry into a versioned table."""
+    """A batch function that adds the changed states of a batch to a versioned table; ``latest`` reads it.
+
+    A batch writes only its own rows. Folders are put together by the store once there are many, so a row is rewritten
+    once in that many batches.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        keys = ["group_id", "episode_uuid"]
-        if store.version(name) is None:
-            merged = batch
-        else:
-            merged = store.read(name).join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        store.write(name, merged.where(F.col("status") != "deleted"), str(number))
+        store.commit(str(number), more={name: batch.withColumn("batch", F.lit(number).cast("bigint"))})
 
     return each
 
 
+def latest(store: SnapshotStore, name: str) -> DataFrame:
+    """(group_id, episode_uuid, status, retry_count) as of the last batch; deleted entries leave."""
+    keys = ["group_id", "episode_uuid"]
+    newest = store.read(name).groupBy(*keys).agg(F.max_by(F.struct("status", "retry_count"), "batch").alias("x"))
+    return newest.select(*keys, "x.status", "x.retry_count").where(F.col("status") != "deleted")
+
+
 def ingest(store: SnapshotStore, process: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """A batch function for new entries: adds those not yet there, runs ``process`` on them and writes its tables.
+    """A batch function for new entries: adds those not yet there, runs ``process`` on them and adds its rows to their tables.
 
-    All tables of a batch carry its number, so a batch that failed half-way is repeated without doubling anything.
+    What is new is told from the tables before the batch, and all tables change in one swap of the pointer: a batch that
+    failed anywhere is repeated in full, one that was applied changes nothing, and nothing is doubled or lost. Rows
+    without a uuid are refused by ``load_entries`` before; here they leave. Of copies of an entry in a batch the
+    smallest content stays.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["group_id", "uuid"])
-        if store.version("episodes") is not None:
-            new = new.join(store.read("episodes").select("group_id", "uuid"), ["group_id", "uuid"], "left_anti")
-        for name, rows in {"episodes": new, **process(new)}.items():
-            old = store.read(name) if store.version(name) is not None else None
-            store.write(name, rows if old is None else old.unionByName(rows, allowMissingColumns=True), str(number))
+        if store.batch() == str(number):
+            return
+        rest = [c for c in batch.columns if c not in ("group_id", "uuid")]
+        new = batch.where("group_id IS NOT NULL AND uuid IS NOT NULL")
+        order = F.to_json(F.struct(*rest)) if rest else F.lit("")
+        new = new.groupBy("group_id", "uuid").agg(F.min_by(F.struct(*batch.columns), order).alias("x")).select("x.*")
+        new = store.missing(new, "episodes", ["group_id", "uuid"])
+        store.commit(str(number), more={"episodes": new, **process(new)})
 
     return each

@@ -143,8 +143,6 @@ def test_state(spark):
     control = spark.createDataFrame([("g", None, None, None, None)], "group_id string, active_uuid string, model_state string, inference_enabled boolean, blocked boolean")
     snap = state.snapshot(again, ep, control).first()
     assert (snap.pending_count, snap.model_state, snap.inference_enabled, snap.retry_count) == (2, "idle", True, 0)
-    panel = spark.createDataFrame([("k", 1, "show_pending"), ("k", 2, "status_done"), ("k", 3, "nonsense"), ("k", 4, "user_deleted_last")], "key string, seq int, event string")
-    assert state.panel_states(panel).first().state == "empty_idle"
 
 
 def test_metrics(spark):
@@ -159,8 +157,23 @@ def test_metrics(spark):
         metrics.split_tail(spark.range(1), "id").collect()
     row = spark.sql("select '{\"score\": 1.7}' a, 'broken' b").select(metrics.judge_score(F.col("a")).alias("a"), metrics.judge_score(F.col("b")).alias("b"))
     assert tuple(row.first()) == (1.0, 0.0)
-    issues = spark.sql("select '' a, 'The author seems to like tea' b").select(metrics.fact_issues(F.col("a"), F.lit(False)).alias("a"), metrics.fact_issues(F.col("b"), F.lit(True)).alias("b"))
-    assert tuple(issues.first()) == (["empty"], ["third person", "no first person", "analysis"])
+    facts = [("", "I", "x"), (" the narrator met Bo", "i", "Bo"), ("Bo likes tea, indicating a habit", "Bo", "I"), ("I like tea", "I", "tea"), ("Bo gave me tea", "Bo", "I"), ("the narrator likes tea", "Bo", "tea"), (None, None, None)]
+    df = spark.createDataFrame(facts, "f string, a string, b string")
+    got = [r[0] for r in df.select(metrics.fact_issues(F.col("f"), F.col("a"), F.col("b"), F.lit(True))).collect()]
+    assert got == [["empty"], ["third person"], ["no first person", "analysis"], [], [], [], ["empty"]]
+
+
+def test_panel(spark):
+    walks = {
+        "a": [("show", "pending_nodes", None, None), ("status_pending_edges_or_done", "pending_edges", None, None), ("status_pending_edges_or_done", "done", None, True)],
+        "b": [("show", None, False, None), ("cache_empty", None, None, None), ("inference_enabled", "done", None, True), ("user_deleted_entity", None, None, False)],
+        "c": [("hide", None, None, None), ("cache_entities_found", None, None, None), ("user_deleted_entity", None, None, True), ("episode_closed", None, None, None), ("show", None, None, None)],
+        "d": [("inference_disabled", None, None, None), ("show", None, None, None), ("status_pending_nodes", None, None, None), ("unheard of", None, None, None)],
+    }
+    rows = [(k, i, *e) for k, events in walks.items() for i, e in enumerate(events)]
+    df = spark.createDataFrame(rows, "key string, seq int, event string, status string, enabled boolean, present boolean")
+    got = {r.key: (r.state, r.status) for r in state.panel_states(df).collect()}
+    assert got == {"a": ("ready_entities", "done"), "b": ("empty_idle", None), "c": ("ready_entities", None), "d": ("disabled", None)}
 
 
 def test_hot_keys_join(spark):

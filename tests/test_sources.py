@@ -25,6 +25,7 @@ def test_files(spark, tmp_path):
     assert str(rows["2024-03-05.txt"].entry_time) == "2024-03-04 23:00:00" and rows["2024-03-05.txt"].warning is None
     assert rows["note with space.md"].warning and rows["bad.txt"].error and rows["bad.txt"].content is None
     assert rows["rich.rtf"].content == "Café bold\nnext €"
+    assert importing.rtf_text(r"{\rtf1{\*\generator X;}a\uc2\u8364 ??b\{\}\\\'e9\~\emdash c{\info{\title no}}\line d\bin3 {{{e}") == "a€b{}\\é\u00a0—c\nde"
     assert len(importing.list_files(str(tmp_path), [".txt"], recursive=False)) == 3
     assert importing.read_files(spark, str(tmp_path / "sub" / "none")).count() == 0
 
@@ -42,9 +43,9 @@ def test_dayone(spark, tmp_path):
 
 def test_xml(spark, tmp_path):
     f = tmp_path / "blog.xml"
-    f.write_text("<Blog><post>early</post><date>05,March,2024</date><post>one & two\x01</post><post> </post><post>three &lt;3</post><date>06,March,2024</date><post/><post>four</post></Blog>")
+    f.write_text("<Blog><post>early</post><date>05,March,2024</date><post>one & two\x01</post><post> </post><post>three &lt;3</post><date>06,March,2024</date><post/><post>four caf&#233; &#x20AC; &amp;#233;</post></Blog>")
     rows = importing.read_xml(spark, str(f), "Europe/Berlin").orderBy("entry_time", "content").collect()
-    assert [(r.content, str(r.entry_time)) for r in rows] == [("one & two", "2024-03-04 23:00:00"), ("three <3", "2024-03-04 23:00:00"), ("four", "2024-03-05 23:00:00")]
+    assert [(r.content, str(r.entry_time)) for r in rows] == [("one & two", "2024-03-04 23:00:00"), ("three <3", "2024-03-04 23:00:00"), ("four café € &#233;", "2024-03-05 23:00:00")]
     assert len({r.uuid for r in rows}) == 3
 
 
@@ -56,6 +57,10 @@ def test_load(spark):
     assert after.where("uuid = '2'").first().name == "Tuesday Nov 5, 2024"
     assert tuple(importing.load_entries(have, new, "j", dry_run=True)[1].first()) == (2, 1, 1)
     assert tuple(importing.load_entries(after, new, "j")[1].first()) == (0, 3, 1)
+    bare = spark.sql("select * from values ('x', timestamp'2024-11-05', string(null)), ('x', timestamp'2024-11-05', null), ('z', null, null) as t(content, entry_time, uuid)")
+    once, report = importing.load_entries(have, bare, "j")
+    assert tuple(report.first()) == (3, 0, 0) and once.where("uuid IS NULL").count() == 0 and once.select("uuid").distinct().count() == 4
+    assert tuple(importing.load_entries(once, bare, "j")[1].first()) == (0, 3, 0)
 
 
 def test_java_pattern():
@@ -63,13 +68,38 @@ def test_java_pattern():
     assert importing.java_pattern("day %d") == "'d''a''y' dd"
 
 
-def test_snapshots(spark, tmp_path):
+def test_snapshots(spark, tmp_path, monkeypatch):
+    from marginalia.sources import snapshot
+
+    store = SnapshotStore(spark, str(tmp_path))
+    assert store.version("t") is None and store.batch() is None
+    store.write("t", spark.createDataFrame([("007", 1)], "group_id string, x int"), "1")
+    store.write("t", spark.createDataFrame([("007", 2), ("2024", 3)], "group_id string, x int"), "2")
+    assert store.write("t", spark.createDataFrame([("g", 9)], "group_id string, x int"), "2") is False
+    assert sorted(tuple(r) for r in store.read("t").collect()) == [("007", 2), ("2024", 3)]
+    monkeypatch.setattr(snapshot, "FOLDERS", 2)
+    for n in (3, 4, 5):  # a new column, folders put together
+        store.commit(str(n), more={"t": spark.createDataFrame([("g", n, "y")], "group_id string, x int, y string"), "u": spark.createDataFrame([], "z int")})
+    assert store.read("t").columns == ["group_id", "x", "y"] and sorted(r.x for r in store.read("t").collect()) == [2, 3, 3, 4, 5] and store.read("u").count() == 0
+    store.reset({"u": spark.createDataFrame([(1,)], "z int")}, "6")
+    assert store.read("t").count() == 0 and store.read("u").count() == 1
+
+
+def test_ingest_survives_a_failure_between_tables(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
-    assert store.version("t") is None
-    store.write("t", spark.createDataFrame([("g", 1)], "group_id string, x int"), "1")
-    store.write("t", spark.createDataFrame([("g", 2), ("h", 3)], "group_id string, x int"), "2")
-    store.write("t", spark.createDataFrame([("g", 9)], "group_id string, x int"), "2")
-    assert sorted(r.x for r in store.read("t").collect()) == [2, 3]
+    schema = "group_id string, uuid string, content string"
+    linked = lambda new: {"mentions": new.select("group_id", F.col("uuid").alias("episode_uuid"), F.length("content").alias("n"))}
+    broken = lambda new: {"mentions": new.select(F.raise_error(F.lit("lost")).alias("group_id"))}
+    first = spark.createDataFrame([("007", "1", "a"), ("007", "1", "b"), ("007", None, "c"), ("h", "1", "ddd")], schema)
+    try:
+        queue.ingest(store, broken)(first, 0)
+    except Exception as problem:
+        assert "lost" in str(problem)
+    assert store.batch() is None
+    for number, batch in ((0, first), (0, first), (1, spark.createDataFrame([("007", "1", "zz"), ("007", "2", "ee")], schema)), (2, spark.createDataFrame([], schema))):
+        queue.ingest(store, linked)(batch, number)
+    assert sorted(tuple(r) for r in store.read("episodes").collect()) == [("007", "1", "a"), ("007", "2", "ee"), ("h", "1", "ddd")]
+    assert sorted(tuple(r) for r in store.read("mentions").collect()) == [("007", "1", 1), ("007", "2", 2), ("h", "1", 3)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -84,4 +114,4 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         queue.run_to_end(queue.retry_states(stream), queue.keep_latest(store, "state"), str(tmp_path / "ck"))
     want = {(r.episode_uuid, r.status, r.retry_count) for r in replay(everything).collect()}
-    assert {(r.episode_uuid, r.status, r.retry_count) for r in store.read("state").collect()} == want
+    assert {(r.episode_uuid, r.status, r.retry_count) for r in queue.latest(store, "state").collect()} == want
