@@ -1,15 +1,17 @@
 """Mixing sources to target shares of the total size.
 
-1. Soft membership: a text of a known source belongs to it; a text without one gets posteriors over the sources from a naive
-   Bayes classifier over hashed words, whose counts cover all labelled texts and whose temperature is fitted on rows
-   held out of the counts; afterwards they are counted too.
-2. Rates: nonnegative repetition rates, at most the cap of the text, by projected gradient on the squared distance between expected
-   tokens per source and their targets. Each step needs one number a source from the cluster.
+1. Soft membership: every text gets posteriors over the sources from a naive Bayes classifier over hashed words, whose
+   counts cover all labelled texts and whose temperature is fitted on rows held out of the counts; afterwards they are
+   counted too. A label is evidence, not certainty: it is believed with the weight ``TRUST``, the classifier with the rest.
+2. Rates: nonnegative repetition rates, at most the cap of the text, by projected gradient on the squared distance between
+   expected tokens a source and their targets. The projection is lazy: the sum of all steps of a text is its posteriors
+   times one number a source, so a step is one aggregate over the texts and nothing is rewritten.
 3. Copies: the whole part of the rate, and one more for the texts first in hash order until the source's tokens are
    reached; found from one histogram of bounded size.
 
 The total is the largest at which every source that has texts can reach its share. Sources without texts cannot; their share
-is reported as 0 and the others keep their proportions. Null and empty texts and texts of no size are left out.
+is reported as 0 and the others keep their proportions. Null and empty texts and texts of no size are left out. A text
+whose source is null or not among the targets is judged by the classifier alone; its cap is that of its likeliest source.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Scratch
 
-#: Hash buckets of words, buckets of the rounding histogram, steps of the gradient at most, relative distance that ends them.
-WORDS, SLICES, STEPS, TOLERANCE = 4096, 4096, 30, 1e-6
+#: Hash buckets of words, buckets of the rounding histogram, steps of the gradient at most, relative distance that ends them; ``shares`` tells what is left.
+WORDS, SLICES, STEPS, TOLERANCE = 4096, 4096, 60, 1e-5
+#: Weight of a label against the classifier.
+TRUST = 0.98
 #: Share (one in so many) of labelled texts held out for the temperature, and the temperatures tried.
 HELD, TEMPERATURES = 10, [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0]
 
@@ -50,22 +54,27 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
             priors = np.log(sizes / max(sizes.sum(), 1)) if sizes.any() else np.zeros(k)
         return priors, np.log(counts / counts.sum(1, keepdims=True))
 
-    fitted = whole = (np.full(k, -np.log(k)), np.zeros((k, WORDS)))
-    if not rows.where("label IS NULL").isEmpty():
-        labelled = rows.where("label IS NOT NULL")
-        words = labelled.select("label", "held", F.explode(_word_ids(F.col("text"))).alias("w")).groupBy("label", "held", "w").count().toPandas()  # 2 * sources * WORDS rows at most
-        texts = labelled.groupBy("label", "held").count().toPandas()
-        fitted, whole = model(words[~words["held"]], texts[~texts["held"]]), model(words, texts)
+    labelled = rows.where("label IS NOT NULL")
+    words = labelled.select("label", "held", F.explode(_word_ids(F.col("text"))).alias("w")).groupBy("label", "held", "w").count().toPandas()  # 2 * sources * WORDS rows at most
+    texts = labelled.groupBy("label", "held").count().toPandas()
+    fitted, whole = model(words[~words["held"]], texts[~texts["held"]]), model(words, texts)
     context = docs.sparkSession.sparkContext
     shared, final = context.broadcast(fitted), context.broadcast(whole)
 
     def scored(part: DataFrame, counted: Broadcast) -> DataFrame:
         def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            _, logs = counted.value
+            logs = np.ascontiguousarray(counted.value[1].T)
             for frame in batches:
-                yield pd.DataFrame({"doc": frame["doc"], "label": frame["label"], "e": [logs[:, np.asarray(w, np.int64)].sum(1) for w in frame["ids"]]})
+                lengths = frame["ids"].map(len).to_numpy()
+                e = np.zeros((len(frame), k))
+                if lengths.any():
+                    some = np.flatnonzero(lengths)
+                    starts = np.concatenate(([0], np.cumsum(lengths[some])[:-1]))
+                    e[some] = np.add.reduceat(logs[np.concatenate(frame["ids"].to_numpy()[some]).astype(np.int64)], starts, axis=0)
+                yield pd.DataFrame({"doc": frame["doc"], "label": frame["label"], "tokens": frame["tokens"], "source": frame["source"], "e": list(e)})
 
-        return part.select("doc", "label", _word_ids(F.col("text")).alias("ids")).mapInPandas(evidence, f"doc {docs.schema['doc'].dataType.simpleString()}, label int, e array<double>")
+        schema = f"doc {docs.schema['doc'].dataType.simpleString()}, label int, tokens bigint, source string, e array<double>"
+        return part.select("doc", "label", "tokens", "source", _word_ids(F.col("text")).alias("ids")).mapInPandas(evidence, schema)
 
     if fitted[1].any():
         def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,26 +95,31 @@ def posteriors(docs: DataFrame, sources: list[str]) -> DataFrame:
     def soften(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prior, _ = final.value
         for frame in batches:
-            x = [e / temperature + prior for e in frame["e"]]
-            yield pd.DataFrame({"doc": frame["doc"], "p": [np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in x]})
+            if len(frame):
+                x = np.stack(frame["e"].to_list()) / temperature + prior
+                p = np.exp(x - x.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                label = frame["label"].fillna(-1).to_numpy(int)
+                known = label >= 0
+                p[known] *= 1 - TRUST
+                p[np.flatnonzero(known), label[known]] += TRUST
+                yield pd.DataFrame({"doc": frame["doc"], "tokens": frame["tokens"], "source": frame["source"], "p": list(p)})
 
-    soft = scored(rows.where("label IS NULL"), final).mapInPandas(soften, f"doc {docs.schema['doc'].dataType.simpleString()}, p array<double>")
-    hard = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
-    columns = ["doc", "tokens", "source", "p"]
-    unlabelled = rows.where("label IS NULL").select("doc", "tokens", "source").join(soft, "doc").select(*columns)
-    return rows.where("label IS NOT NULL").select("doc", "tokens", "source", hard.alias("p")).unionAll(unlabelled)
+    return scored(rows, final).mapInPandas(soften, f"doc {docs.schema['doc'].dataType.simpleString()}, tokens bigint, source string, p array<double>")
 
 
-def _sums(rows: DataFrame, weight: Column, k: int) -> np.ndarray:
-    row = rows.agg(*[F.sum(weight * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-    return np.array([float(x or 0) for x in row])
+def _sums(rows: DataFrame, *weights: Column, k: int) -> list[np.ndarray]:
+    """Of each weight, its sums over the texts times their posteriors."""
+    row = rows.agg(*[F.sum(w * F.col("p")[i]).alias(f"s{n}_{i}") for n, w in enumerate(weights) for i in range(k)]).first()
+    return list(np.array([float(x or 0) for x in row]).reshape(len(weights), k))
 
 
 def mixture(docs: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame:
-    """(doc, source, member_of, tokens, rate, copies) of ``docs(doc, tokens, source, text)``; ``doc`` is unique.
+    """(doc, source, member_of, tokens, p, rate, copies) of ``docs(doc, tokens, source, text)``; ``doc`` is unique.
 
     ``targets`` are (source, share, repetitions allowed). ``member_of`` is the likeliest source, which counts for the cap.
     """
+    targets = sorted(targets)
     k, names = len(targets), [t[0] for t in targets]
     share, caps = np.array([t[1] for t in targets], float), [t[2] for t in targets]
     disk = Scratch(docs.sparkSession, "mixture")
@@ -115,22 +129,24 @@ def mixture(docs: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame
     cap = F.get(F.array(*[F.lit(float(c)) for c in caps]), top - 1)
     rows = disk.save(rows.select("*", F.get(F.array(*[F.lit(n) for n in names]), top - 1).alias("member_of"), cap.alias("cap")))
 
-    room = _sums(rows, F.col("tokens") * F.col("cap"), k)  # tokens each source can give
-    weight = _sums(rows, F.col("tokens").cast("double"), k)
-    have = (room > 1e-9 * room.sum()) & (share > 0)
+    tokens = F.col("tokens").cast("double")
+    room, weight = _sums(rows, tokens * F.col("cap"), tokens, k=k)  # tokens each source can give, and has
+    members = [r[0] for r in rows.select("member_of").distinct().collect()]  # k names at most
+    have = (room > 0) & (share > 0) & np.isin(np.array(names), members)
     if not have.any():
-        return rows.select("doc", "source", "member_of", "tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
-    goal = np.where(have, share * (room[have] / share[have]).min(), 0.0)
-    # Projected gradient in the metric of the token sizes: the step of a text is its expected excess a token of each source.
-    current, total = disk.save(rows.withColumn("r", F.lit(0.0))), np.zeros(k)
+        return rows.select("doc", "source", "member_of", "tokens", "p", F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
+    # Posteriors leak a little between sources, so the largest total leaves that little free.
+    goal = np.where(have, share * (room[have] / share[have]).min() * TRUST, 0.0)
+    lam, rate = np.zeros(k), None
     for _ in range(STEPS):
-        pull = np.where(weight > 0, (total - goal) / np.maximum(weight, 1e-9), 0.0)
-        step = sum((F.col("p")[i] * float(pull[i]) for i in range(k)), F.lit(0.0))
-        moved = current.withColumn("r", F.greatest(F.lit(0.0), F.least(F.col("cap"), F.col("r") - step)))
-        current = disk.save(moved, keep=True)
-        total = _sums(current, F.col("r") * F.col("tokens"), k)
+        way = sum((F.col("p")[i] * float(lam[i]) for i in range(k)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), F.least(F.col("cap"), way))
+        total, free = _sums(rows, rate * tokens, F.when((way >= 0) & (way < F.col("cap")), tokens).otherwise(0.0), k=k)
         if np.abs(total - goal).max() <= TOLERANCE * goal.sum():
             break
+        # The step in the metric of the token sizes that can still move.
+        lam = lam + np.where(weight > 0, (goal - total) / np.maximum(np.maximum(free, 0.02 * weight), 1e-9), 0.0)
+    current = rows.withColumn("r", rate)
 
     # Rounding: the threshold of each source on hash / fraction at which its tokens are reached.
     unit = F.pmod(F.xxhash64("doc", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -147,16 +163,28 @@ def mixture(docs: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame
         limits[name] = int(parts["slice"].iloc[best - 1]) if best else -1
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
     extra = F.when(F.col("slice") <= F.try_element_at(limit, F.col("member_of")), 1).otherwise(0)
-    return rounded.select("doc", "source", "member_of", "tokens", F.col("r").alias("rate"), F.least(F.col("base") + extra, F.col("cap").cast("int")).alias("copies"))
+    return rounded.select("doc", "source", "member_of", "tokens", "p", F.col("r").alias("rate"), F.least(F.col("base") + extra, F.col("cap").cast("int")).alias("copies"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, texts, texts_used, tokens_available, tokens_used, reached_share, most_copies) per target."""
+    """(source, target_share, max_repeats, texts, texts_used, tokens_available, tokens_used, reached_share, labelled_share, expected_share, most_copies) per target.
+
+    ``reached_share`` counts a text for the source it is a member of, ``labelled_share`` for the source it names, whether a
+    target or not, ``expected_share`` for all sources by its posteriors, as the fit does before copies are rounded.
+    """
     per = mixed.groupBy(F.col("member_of").alias("source")).agg(
         F.count("*").alias("texts"), F.sum((F.col("copies") > 0).cast("bigint")).alias("texts_used"), F.sum("tokens").alias("tokens_available"),
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_copies"),
     )
-    total = per.agg(F.sum("tokens_used").alias("_all"))
-    out = targets.join(per, "source", "left").crossJoin(total)  # one row
+    named = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("_named"))
+    order = [r[0] for r in targets.select("source").orderBy("source").collect()]  # the targets, as ``p`` has them
+    soft = mixed.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(i))).alias(f"_{i}") for i in range(len(order))])
+    soft = soft.select(F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"_{i}").alias("_soft")) for i, s in enumerate(order)])).alias("x")).select("x.*")
+    total = per.agg(F.sum("tokens_used").alias("_all")).crossJoin(soft.agg(F.sum("_soft").alias("_whole")))  # one row
+    out = targets.join(per, "source", "left").join(named, "source", "left").join(soft, "source", "left").crossJoin(total)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("source", "target_share", "max_repeats", zero("texts"), zero("texts_used"), zero("tokens_available"), zero("tokens_used"), F.round(F.coalesce(F.try_divide("tokens_used", "_all"), F.lit(0.0)), 6).alias("reached_share"), zero("most_copies"))
+    share = lambda c, whole, name: F.round(F.coalesce(F.try_divide(c, whole), F.lit(0.0)), 6).alias(name)
+    return out.select(
+        "source", "target_share", "max_repeats", zero("texts"), zero("texts_used"), zero("tokens_available"), zero("tokens_used"), share("tokens_used", "_all", "reached_share"),
+        share("_named", "_all", "labelled_share"), share("_soft", "_whole", "expected_share"), zero("most_copies"),
+    )

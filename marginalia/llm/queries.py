@@ -98,7 +98,7 @@ def _mixed(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with how often it is used."""
-    return _mixed(spark, folder).withColumnRenamed("doc", "doc_id")
+    return _mixed(spark, folder).select(F.col("doc").alias("doc_id"), "source", "member_of", "tokens", "rate", "copies")
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
