@@ -1,14 +1,15 @@
 """Pairwise matches to groups: peel leaves, compress chains by list ranking, solve the core, restore the labels.
 
-Vertices are pairs (scope, id) written into one 64-bit key; an edge joins two vertices of one scope. Each round
+Vertices are pairs (scope, id) written into one 64-bit key; of vertices that share a hash all but one get another, so keys are
+unique at any size. An edge joins two vertices of one scope. Each round
 
 1. strips vertices of degree one (degrees are aggregated map-side before the shuffle, so a hub with a third of all
    edges is one partial aggregate a task);
 2. ranks chains of degree-two vertices by pointer doubling over both directions and replaces each chain by one edge
    between its ends.
 
-What is left has only vertices of degree three and more. When a round no longer shrinks it by a fifth, the core is solved by alternating
-large-star and small-star steps. Stripped vertices then get the label of what they hang on, newest round first.
+Rounds go on until one changes nothing: what is left has only vertices of degree three and more, and ends of chains smaller
+than both neighbours. This core is solved by alternating large-star and small-star steps. Stripped vertices then get the label of what they hang on, newest round first.
 Nothing but counts reaches the driver. Rounds are written to the shared checkpoint folder.
 
 Defined results: null ends and self links are ignored; repeated links count once; an empty table gives an empty result.
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.skew import salted_lookup
 from ..session import Scratch
 
-#: A round that keeps more than this share of the edges hands over to the core solver.
-ENOUGH = 0.8
+#: Bits of a vertex key; fewer only in tests.
+KEY_BITS = 64
 #: Rows of one key from which a join is salted.
 HOT = 200_000
 
@@ -90,7 +91,7 @@ def _core(edges: DataFrame, disk: Scratch) -> DataFrame:
         least = both.groupBy("v").agg(F.least(F.min("n"), F.col("v")).alias("m"))
         large = disk.save(salted_lookup(both.where("n > v"), least, ["v"]).select(*_ordered(F.col("n"), F.col("m"))).where("u <> w").distinct())
         low = large.groupBy("w").agg(F.min("u").alias("m"))
-        small = large.join(low, "w").select(*_ordered(F.col("u"), F.col("m"))).unionAll(low.select(F.col("m").alias("u"), "w"))
+        small = salted_lookup(large, low, ["w"]).select(*_ordered(F.col("u"), F.col("m"))).unionAll(low.select(F.col("m").alias("u"), "w"))
         edges = disk.save(small.where("u <> w").distinct())
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -98,20 +99,45 @@ def _core(edges: DataFrame, disk: Scratch) -> DataFrame:
         before = mark
 
 
+def _key(*parts: Column) -> Column:
+    key = F.xxhash64(*parts)
+    return key if KEY_BITS == 64 else F.pmod(key, F.lit(1 << KEY_BITS))
+
+
+def _keyed(pairs: DataFrame, disk: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``pairs(s, a, b)`` with the keys ka and kb of their ends, vertices (v, s, id)), each vertex with a key of its own.
+
+    Vertices whose key another one has are drawn again; at 64 bits they are a handful among billions, mostly none.
+    """
+    pairs = disk.save(pairs.withColumns({"ka": _key("s", "a"), "kb": _key("s", "b")}))
+    seed = 0
+    while True:
+        ends = F.explode(F.array(F.struct(F.col("ka").alias("v"), "s", F.col("a").alias("id")), F.struct(F.col("kb").alias("v"), "s", F.col("b").alias("id"))))
+        names = pairs.select(ends.alias("x")).select("x.*")
+        held = names.groupBy("v").agg(F.min(F.struct("s", "id")).alias("x"), F.max(F.struct("s", "id")).alias("y"))
+        held = disk.save(held)
+        shared = held.where("x <> y").select("v", "x")
+        if shared.isEmpty():
+            return pairs, held.select("v", "x.s", "x.id")
+        seed += 1
+        again = names.distinct().join(shared, "v").where(F.struct("s", "id") != F.col("x")).select("s", "id", _key("s", "id", F.lit(seed)).alias("k"))
+        again = disk.save(again)
+        for end in ("a", "b"):
+            new = again.select("s", F.col("id").alias(end), F.col("k").alias("_k"))
+            pairs = pairs.join(new, ["s", end], "left").withColumn(f"k{end}", F.coalesce("_k", f"k{end}")).drop("_k")
+        pairs = disk.save(pairs)
+
+
 def connected_components(links: DataFrame, scope: str, left: str, right: str) -> DataFrame:
     """(scope, id, root_id) for every id linked to another one; root_id is the smallest id of its group in its scope.
 
     ``links`` may have further columns and any number of copies of a link in either direction. Ids are strings; a
-    vertex is its (scope, id) pair, held as a 64-bit hash during the rounds; two vertices with one hash raise an error.
+    vertex is its (scope, id) pair, held as a 64-bit key during the rounds.
     """
     disk = Scratch(links.sparkSession, "components")
     clean = links.where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(scope).isNotNull() & (F.col(left) != F.col(right)))
     pairs = clean.select(F.col(scope).alias("s"), F.least(left, right).alias("a"), F.greatest(left, right).alias("b"))
-    pairs = disk.save(pairs.withColumns({"ka": F.xxhash64("s", "a"), "kb": F.xxhash64("s", "b")}))
-    names = pairs.select(F.explode(F.array(F.struct(F.col("ka").alias("v"), "s", F.col("a").alias("id")), F.struct(F.col("kb").alias("v"), "s", F.col("b").alias("id")))).alias("x")).select("x.*")
-    names = names.groupBy("v").agg(F.min(F.struct("s", "id")).alias("x"), F.max(F.struct("s", "id")).alias("y"))
-    same = F.when(F.col("x") == F.col("y"), F.col("x.s")).otherwise(F.raise_error(F.lit("two vertices share a 64-bit key")))
-    names = disk.save(names.select("v", same.alias("s"), "x.id"))
+    pairs, names = _keyed(pairs, disk)
     edges = disk.save(pairs.select(*_ordered(F.col("ka"), F.col("kb"))).distinct())
     count, removed = edges.count(), []
     while count:
@@ -121,7 +147,7 @@ def connected_components(links: DataFrame, scope: str, left: str, right: str) ->
                 removed.append(gone)
                 edges = disk.save(edges)
         now = edges.count()
-        if now > ENOUGH * count:
+        if now == count:
             break
         count = now
     roots = _core(edges, disk) if count else None

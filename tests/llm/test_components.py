@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.llm import components as C
 from marginalia.llm.components import canonical_uuid, connected_components, match_groups
 
 U = "6f30404a-b159-433d-8c9a-f57052e4f3b6"
@@ -69,3 +70,10 @@ def test_same_uuid_in_two_journals(spark):
     pairs = spark.createDataFrame([("g", a.upper(), b, None), ("h", a, c, 0.5), ("g", a, "", 0.1)], "group_id string, node_uuid string, canonical_uuid string, similarity double")
     maps = spark.createDataFrame([("g", {b: c, c: c}), ("g", None), ("g", {})], "group_id string, uuid_map map<string,string>")
     assert {tuple(x) for x in match_groups(pairs, maps).collect()} == {("g", a, a), ("g", b, a), ("g", c, a), ("h", a, a), ("h", c, a)}
+
+
+def test_keys_that_collide_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(C, "KEY_BITS", 12)
+    links = [("g", f"{c:03d}-{i}", f"{c:03d}-{i + 1}") for c in range(80) for i in range(3)]
+    got = C.connected_components(spark.createDataFrame(links, "g string, a string, b string"), "g", "a", "b").collect()
+    assert {(r.id, r.root_id) for r in got} == {(f"{c:03d}-{i}", f"{c:03d}-0") for c in range(80) for i in range(4)}
