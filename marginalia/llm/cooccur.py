@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..operators.skew import salted_lookup
 from ..session import Scratch
 
-#: Segments a stripe is cut into, by a hash of the neighbour.
-SEGMENTS = 8
+#: Segments a stripe is cut into, by a hash of the neighbour; an item in more than ``HOT`` baskets gets as many more as it is hotter.
+SEGMENTS, HOT = 8, 200_000
+#: Items counted as hot at most: with more of them, only those above a share of 1 / ``HOT_ITEMS`` of all rows are.
+HOT_ITEMS = 10_000
 #: Items of one block of a basket; a larger basket is handled as pairs of blocks.
 BLOCK = 256
 #: A basket above this size may be left out of pair building and be looked up instead (see ``cooccurrence``).
@@ -70,19 +72,28 @@ def _pairs_of(frame: pd.DataFrame) -> pd.DataFrame:
     return pairs.groupby(["scope", "item", "neighbour"], sort=False).size().rename("count").reset_index()
 
 
-def _partial_stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        pairs = _pairs_of(frame)
-        if len(pairs):
-            yield _as_stripes(pairs)
-
-
-def _as_stripes(pairs: pd.DataFrame) -> pd.DataFrame:
-    segment = (pd.util.hash_array(pairs["neighbour"].to_numpy(object)) % np.uint64(SEGMENTS)).astype("int32")
+def _as_stripes(pairs: pd.DataFrame, hot: dict[tuple[str, str], int]) -> pd.DataFrame:
+    segments = np.uint64(SEGMENTS)
+    if hot:
+        segments = np.array([hot.get(k, SEGMENTS) for k in zip(pairs["scope"], pairs["item"], strict=True)], np.uint64)
+    segment = (pd.util.hash_array(pairs["neighbour"].to_numpy(object)) % segments).astype("int32")
     grouped = pairs.assign(segment=segment).groupby(["scope", "item", "segment"], sort=False)
     return grouped.agg(neighbours=("neighbour", list), counts=("count", list)).reset_index()
 
 
+def _stripes(blocks: DataFrame, hot: dict[tuple[str, str], int]) -> DataFrame:
+    """Stripes of the block rows, one a task for each (scope, item, segment); ``hot`` has the segments of hot items."""
+    shared = blocks.sparkSession.sparkContext.broadcast(hot)  # HOT_ITEMS entries at most
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            pairs = _pairs_of(frame)
+            if len(pairs):
+                yield _as_stripes(pairs, shared.value)
+
+    return blocks.mapInPandas(partial, STRIPE)
+
+
 def _merge_stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sum the stripes of a partition sorted by key; at most one key is carried from batch to batch."""
     held: pd.DataFrame | None = None
@@ -138,7 +149,9 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
     giants = disk.save(sizes.where(F.col("size") > GIANT).withColumn("rank", rank).where(F.col("rank") < min_count).select("scope", "basket"), keep=True)
     some = not giants.isEmpty()
     built = kept.join(giants, ["scope", "basket"], "left_anti") if some else kept
-    stripes = _blocks(built, sizes).mapInPandas(_partial_stripes, STRIPE)
+    limit = max(HOT, -(-sets.count() // HOT_ITEMS))
+    hottest = items.where(F.col("n_item") > limit).collect()  # HOT_ITEMS rows at most
+    stripes = _stripes(_blocks(built, sizes), {(r["scope"], r["item"]): SEGMENTS * -(-r["n_item"] // limit) for r in hottest})
     keyed = stripes.repartition("scope", "item", "segment").sortWithinPartitions("scope", "item", "segment")
     pairs = keyed.mapInPandas(_merge_stripes, "scope string, item_a string, item_b string, n_ab bigint")
     if some:
@@ -147,11 +160,10 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
             pairs = salted_lookup(pairs, inside.select("scope", F.col("item").alias(f"item_{side}"), F.col("held").alias(f"held_{side}")), ["scope", f"item_{side}"], "left")
         common = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))
         pairs = pairs.select("scope", "item_a", "item_b", (F.col("n_ab") + F.greatest(common, F.lit(0))).alias("n_ab"))
-    # Written once, so the look-ups below (and their counts of hot keys) do not run the stripes again. An item has at most
-    # one row a partner here, so these joins need no salt; that on the scope does.
+    # Written once, so the look-ups below (and their counts of hot keys) do not run the stripes again.
     pairs = disk.save(pairs.where(F.col("n_ab") >= min_count), keep=True)
-    counted = pairs.join(items.select("scope", F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), ["scope", "item_a"])
-    counted = counted.join(items.select("scope", F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), ["scope", "item_b"])
+    counted = salted_lookup(pairs, items.select("scope", F.col("item").alias("item_a"), F.col("n_item").alias("n_a")), ["scope", "item_a"])
+    counted = salted_lookup(counted, items.select("scope", F.col("item").alias("item_b"), F.col("n_item").alias("n_b")), ["scope", "item_b"])
     counted = salted_lookup(counted, totals, ["scope"])
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
     llr = log_likelihood_ratio(*(F.col(c) for c in ("n_ab", "n_a", "n_b", "n")))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import Scratch
 
-#: Hash sub-groups in which items of one size are ranked.
-GROUPS = 32
+#: Items of one size ranked in one task at most, about; sizes with more are ranked in hash groups side by side.
+GROUP_ROWS = 100_000
 PLACES = "container_kind string, container_no bigint, {key} {type}, piece_no int, token_start bigint, token_end bigint, tokens bigint"
 
 
@@ -92,12 +92,12 @@ def pack(items: DataFrame, key: str, size: str, kind: str, capacity: int) -> Dat
     pieces = F.when(F.col("_size") <= capacity, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_size") - 1) / capacity).cast("bigint")))
     rows = rows.select("_key", "_size", F.explode(pieces).alias("_no"))
     rows = rows.select("_key", "_no", (F.col("_no") * capacity).alias("_at"), F.least(F.col("_size") - F.col("_no") * capacity, F.lit(capacity)).alias("_part"))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_key", "_no"), F.lit(GROUPS)).cast("int"))
-
+    histogram = {int(r["_part"]): int(r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    groups = max(32, -(-max(histogram.values(), default=0) // GROUP_ROWS))
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_key", "_no"), F.lit(groups)).cast("int"))
     per_group = rows.groupBy("_part", "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_part").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_group.select("_part", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    histogram = {int(r["_part"]): int(r["n"]) for r in per_group.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}  # at most capacity + 1 rows
     places = rows.sparkSession.sparkContext.broadcast(_ranges(plan_patterns(histogram, capacity)))
 
     within = F.row_number().over(Window.partitionBy("_part", "_group").orderBy("_key", "_no")) - 1

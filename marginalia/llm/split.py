@@ -18,12 +18,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+# Abbreviations whose point ends no sentence, in the languages of the texts; single letters neither.
+ABBREVIATED = "Dr Mr Mrs Ms Prof St Sr Sra Jr Mme Mlle Hr Fr Nr No Abs Art bzw ca evtl ggf usw vgl vs etc approx dept est fig vol ed eds al cf pp ex env av bd tel ul ok nr str tzn np mw bl dvs".split()
+_UNENDED = "".join(rf"(?<!\b{w})" for w in ABBREVIATED) + r"(?<!\b[A-Za-zÀ-Þ])"
 #: Ends of units, coarsest first: what is matched stays with the unit before (a heading starts the unit after it).
 SEPARATORS = [
     ("section", re.compile(r"\n(?=#{1,6} )")),
     ("paragraph", re.compile(r"(?:\r?\n[ \t]*){2,}")),
     ("line", re.compile(r"\r?\n")),
-    ("sentence", re.compile(r"[.!?…。！？]+[\"'»”’)\]]*\s+")),
+    ("sentence", re.compile(rf"(?:(?:{_UNENDED}\.|[!?…]|\.{{2,}})[.!?…]*[\"'»”’)\]]*\s+)|[。！？]+[\"'»”’」』)\]]*\s*")),
     ("word", re.compile(r"\s+")),
 ]
 

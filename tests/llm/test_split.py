@@ -37,3 +37,12 @@ def test_table(spark):
     long = sorted((r.piece_no, r.start_pos, r.end_pos, r.overlap_chars) for r in got if r.uuid == "1")
     assert len(long) == 3 and long[0][:3] == (0, 0, 9800) and long[-1][2] == 25_001 and all(o == 200 for _, _, _, o in long[1:])
     assert split_texts(df.limit(0), "content", ["uuid"]).count() == 0
+
+
+def test_sentence_ends():
+    from marginalia.llm.split import SEPARATORS
+
+    ends = lambda text: [text[: m.end()] for m in dict(SEPARATORS)["sentence"].finditer(text)]
+    assert ends("We saw Dr. Bo at J. P. Hill. He left! Why?") == ["We saw Dr. Bo at J. P. Hill. ", "We saw Dr. Bo at J. P. Hill. He left! "]
+    assert ends("今天下雨。我们回家！好") == ["今天下雨。", "今天下雨。我们回家！"]
+    assert ends("Well... so. \"Yes.\" No") == ["Well... ", "Well... so. ", 'Well... so. "Yes." ']
