@@ -159,6 +159,7 @@ def link_entities(content: Column, entities: Column, min_mentions: int = 1, excl
     """
     kept = F.filter(entities, lambda e: (F.length(e["name"]) >= 2) & (F.coalesce(e["mention_count"], F.lit(min_mentions)) >= min_mentions) & ~e["uuid"].isin(exclude or [""]))
     indexed = F.transform(kept, lambda e, i: F.struct((-F.length(e["name"])).alias("k"), i.alias("i"), e["name"].alias("name"), e["uuid"].alias("uuid")))
+    # Fixed value: the pattern round a name.
     around = lambda e: F.concat(F.lit(r"(?iU)(?<![\[/])\b("), _quoted(e["name"]), F.lit(r"(?:'s|')?)\b(?![\](])"))
     step = lambda acc, e: F.regexp_replace(acc, around(e), F.concat(F.lit("[$1](entity://"), e["uuid"], F.lit(")")))
     return F.aggregate(F.array_sort(F.coalesce(indexed, F.array().cast("array<struct<k:int,i:int,name:string,uuid:string>>"))), content, step)
@@ -166,6 +167,7 @@ def link_entities(content: Column, entities: Column, min_mentions: int = 1, excl
 
 def emphasize_rich(content: Column, text: Column) -> Column:
     """Console markup escaped, then ``[bold]`` around mentions of at least two characters."""
+    # The patterns of markup and mention.
     escaped = F.regexp_replace(content, F.lit(r"(\\*)(\[[a-zA-Z#/@][^\[\]]*?\])"), F.lit(r"$1$1\\$2"))
     bold = F.regexp_replace(escaped, F.concat(F.lit(r"(?iU)\b("), _quoted(text), F.lit(r"(?:'s|')?)\b")), F.lit("[bold]$1[/bold]"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 2, escaped).otherwise(bold)
@@ -173,6 +175,7 @@ def emphasize_rich(content: Column, text: Column) -> Column:
 
 def emphasize_markdown(content: Column, text: Column) -> Column:
     """``**`` around mentions that are neither bold nor linked yet."""
+    # Fixed value: the pattern round a mention.
     around = F.concat(F.lit(r"(?iU)(?<!\*\*)(?<![\[/])\b("), _quoted(text), F.lit(r"(?:'s|')?)\b(?!\*\*)(?!\])"))
     return F.when(F.coalesce(F.length(text), F.lit(0)) < 2, content).otherwise(F.regexp_replace(content, around, F.lit("**$1**")))
 
@@ -219,6 +222,7 @@ def edge_name(name: Column) -> Column:
 
 def unescape_dayone(text: Column) -> Column:
     """Without image references of the app's own scheme and without backslashes before punctuation."""
+    # The image and escape patterns of the app's export.
     bare = F.regexp_replace(text, F.lit(r"!\[\]\(dayone-moment://[^)]+\)"), F.lit(""))
     return F.regexp_replace(bare, F.lit(r"\\([.!#*_\[\](){}+\-|`~<>,])"), F.lit("$1"))
 

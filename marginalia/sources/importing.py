@@ -185,6 +185,7 @@ def read_dayone(spark: SparkSession, path: str, zones: list[str]) -> DataFrame:
 
 def sanitize_xml(text: Column) -> Column:
     """Without control characters, bare ampersands escaped."""
+    # The two patterns.
     plain = F.regexp_replace(text, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), F.lit(""))
     return F.regexp_replace(plain, F.lit(r"&(?!(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);)"), F.lit("&amp;"))
 
